@@ -21,3 +21,8 @@ def spark():
 @pytest.fixture(scope="session")
 def tiny():
     return f"{DATA}/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def small():
+    return f"{DATA}/sf0.01"
