@@ -67,7 +67,10 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     """
     slim = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / float(1 << 53)
-    slim = staged(slim.withColumn("u", unit), "mix_sizes")
+    # identical rows are numbered, so that a single one of them can be picked; by id, not by
+    # source, of which one may have a third of all rows
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("source", "size"))
+    slim = staged(slim.withColumn("u", unit).withColumn("nth", nth), "mix_sizes")
     plan = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     plan = staged(plan, "mix_targets")
 
@@ -103,7 +106,7 @@ def _nearest_prefix(ranked: DataFrame) -> DataFrame:
     at = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
     below = F.coalesce((F.col("bin") < F.col("cut_bin")) | (F.col("bin").isNotNull() & F.col("cut_bin").isNull()), F.lit(False))
     rest = with_cut.where(~at).withColumn("extra", below.cast("int"))
-    inside = W.partitionBy("source").orderBy("rank", "doc_id", "size")
+    inside = W.partitionBy("source").orderBy("rank", "doc_id", "nth")
     upto = F.col("before") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
     edge = with_cut.where(at).withColumn("upto", upto)
     # taking one more document helps while its middle lies before the need
@@ -120,14 +123,10 @@ def _fix(sampled: DataFrame) -> DataFrame:
     best = (
         sampled.join(left, F.col("source").eqNullSafe(F.col("s")))
         .where(free & (after < F.abs(F.col("off"))))
-        .groupBy("s", "off")
-        .agg(F.min(F.struct(after.alias("after"), "rank", F.col("doc_id").alias("pick"), F.col("size").alias("pick_size"))).alias("b"))
-        .select("s", "off", "b.pick", "b.pick_size")
+        .groupBy("s")
+        .agg(F.min(F.struct(after.alias("after"), "rank", F.col("doc_id").alias("pick"), F.col("nth").alias("pick_nth"))).alias("b"))
+        .select("s", "b.pick", "b.pick_nth")
     )
-    # identical rows share id and size; one copy of them is enough, so they are numbered
-    nth = F.row_number().over(W.partitionBy("source", "doc_id", "size", "extra").orderBy("u"))
-    numbered = sampled.withColumn("nth", nth)
-    on = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("pick")) & (F.col("size") == F.col("pick_size")) & (F.col("nth") == 1)
-    on = on & (F.col("extra") == F.when(F.col("off") > 0, 0).otherwise(1))
-    flipped = F.when(F.col("pick_size").isNotNull(), 1 - F.col("extra")).otherwise(F.col("extra"))
-    return numbered.join(best, on, "left").withColumn("extra", flipped).select(*sampled.columns)
+    on = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("pick")) & (F.col("nth") == F.col("pick_nth"))
+    flipped = F.when(F.col("pick_nth").isNotNull(), 1 - F.col("extra")).otherwise(F.col("extra"))
+    return sampled.join(best, on, "left").withColumn("extra", flipped).select(*sampled.columns)
