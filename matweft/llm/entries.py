@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, pii, quality, simhash
+from . import decontam, langid, line_dedup, mixing, pii, quality, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def remainder(n: int):
     """crc32 of doc_id as text, mod n."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -91,6 +96,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_langid": op6_langid,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
 }
