@@ -40,16 +40,17 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """Rows (doc_id, fp): fp is the 64-bit fingerprint as a signed long; null text gives 0."""
+    """Rows (doc_id, text_hash, fp): fp is the 64-bit fingerprint as a signed long (null text
+    gives 0), text_hash the xxhash64 of the text."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             got = np.array([fingerprint(t.as_py() or b"", shingle, seed) for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
+    slim = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -189,7 +190,7 @@ def _bucket_links(held: list, bits: int):
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 4, bits: int = 4, blocks: int = 6) -> DataFrame:
-    """Rows (doc_id, fp, component_id), one per row of docs.
+    """Rows (doc_id, text_hash, fp, component_id), one per row of docs.
 
     component_id is the smallest doc_id reachable through fingerprints at most `bits` bits
     apart, the document itself included. Null and empty texts have fingerprint zero, which
@@ -201,4 +202,4 @@ def simhash_classes(docs: DataFrame, shingle: int = 4, bits: int = 4, blocks: in
     codes = staged(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash_codes")
     classes = connected_components(near_links(codes, bits, blocks))
     named = codes.join(classes, codes.id == classes.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
