@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, langid, line_dedup, mixing, pii, quality, simhash, suffix_tree
+from . import decontam, embed_dedup, langid, line_dedup, mixing, pii, quality, simhash, suffix_dedup, suffix_tree
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +114,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_embeddings": op2_embeddings,
@@ -124,6 +128,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_embeddings": OP2_SQL}
