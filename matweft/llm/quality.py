@@ -169,9 +169,10 @@ class _Margins(dict):
 def score(docs: DataFrame, model: tuple[bytes, float], name: str = "score") -> DataFrame:
     """docs with one more column: the probability of label 1 from the whole text.
 
-    Null and empty texts get the probability that the bias alone gives. docs must have text
-    and no column called name; all others pass through.
+    Null and empty texts get the probability that the bias alone gives. A column called name
+    is replaced; all others pass through.
     """
+    docs = docs.drop(name)
     raw, bias = model
     columns = docs.columns
     at = columns.index("text")

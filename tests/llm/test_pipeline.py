@@ -14,7 +14,8 @@ def kept(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet")
     odd = rows.limit(1).select(F.expr("explode(array(struct(90001L as doc_id, cast(null as string) as text), struct(90002L as doc_id, '' as text), struct(90003L as doc_id, 'same same text' as text), struct(90003L as doc_id, 'same same text' as text)))").alias("d"))
     odd = odd.select("d.doc_id", "d.text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("n_chars"))
-    out = [staged(rows.unionByName(odd), "in")]
+    clash = {c: F.lit("clash") for c in ("size", "copies", "text_hash", "score", "fp", "n_lines", "removed", "line", "component")}
+    out = [staged(rows.unionByName(odd).withColumns(clash), "in")]
     for name, stage in cp.STAGES:
         out.append(staged(stage(spark, out[-1], small), name))
     return out
