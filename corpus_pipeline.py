@@ -15,53 +15,57 @@ from matweft.llm.common import staged
 from matweft.llm.entries import remainder
 from matweft.session import importable
 
-KEY = ("doc_id", "text_hash")
+#: Names of columns that no table has; they do not leave a stage.
+ID, HASH, SCORE = "__doc_id", "__text_hash", "__quality_score"
+MIX = ("size", "source_size", "target", "copies", "taken")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the hash of the text, and the key as a struct in place of doc_id."""
-    return docs.withColumn("text_hash", F.xxhash64("text"))
+    return docs.withColumn(HASH, F.xxhash64("text"))
 
 
-def _same(found: DataFrame) -> tuple[DataFrame, F.Column]:
-    """found with its key renamed, and the condition that joins it to keyed docs."""
-    named = found.select(*(F.col(c).alias(f"found_{c}") if c in KEY else F.col(c) for c in found.columns))
-    return named, F.col("doc_id").eqNullSafe(F.col("found_doc_id")) & (F.col("text_hash") == F.col("found_text_hash"))
+def _joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs with a text hash, joined with rows that have (ID, HASH)."""
+    found = found.withColumnRenamed(HASH, f"{HASH}2")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(ID)) & (F.col(HASH) == F.col(f"{HASH}2")), how)
+
+
+def _as_id(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, text, others) with the pair of doc_id and text hash as the doc_id."""
+    return docs.select(F.struct(F.col("doc_id").alias(ID), HASH).alias("doc_id"), "text", *others)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at least 0.3."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(5) != 0)
-    return quality.score(docs, model, "quality_score").where("quality_score >= 0.3").drop("quality_score")
+    return quality.score(docs, model, SCORE).where(F.col(SCORE) >= 0.3).drop(SCORE)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less lines that near-copy an earlier line."""
-    kept = line_dedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, less lines that near-copy an earlier line; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs, counts=None)
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked fingerprints the document with the smallest doc_id."""
-    classes = simhash.simhash_classes(docs)
-    kept, same = _same(classes.where("doc_id <=> component_id").select(*KEY).distinct())
-    return _keyed(docs).join(kept, same, "left_semi").dropDuplicates(list(KEY)).select(*docs.columns)
+    classes = simhash.simhash_classes(docs).where("doc_id <=> component_id")
+    kept = classes.select(F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH)).distinct()
+    return _joined(_keyed(docs), kept, "left_semi").dropDuplicates(["doc_id", HASH]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     keyed = _keyed(docs)
-    found = decontam.contamination(keyed.select(F.struct(*KEY).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit, same = _same(found.where("n_hit > 0").select("doc_id.*").distinct())
-    return keyed.join(hit, same, "left_anti").select(*docs.columns)
+    found = decontam.contamination(_as_id(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _joined(keyed, found.where("n_hit > 0").select("doc_id.*").distinct(), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their copies in the mix (0: left out), sizes and targets."""
-    keyed = _keyed(docs)
-    plan = mixing.mix(keyed.select(F.struct(*KEY).alias("doc_id"), "text", "source"))
-    plan, same = _same(plan.select("doc_id.*", "size", "source_size", "target", "copies", "taken"))
-    return keyed.join(plan, same).select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    keyed = _keyed(docs).drop(*MIX)
+    plan = mixing.mix(_as_id(keyed, "source")).select("doc_id.*", *MIX).dropDuplicates([ID, HASH])
+    return _joined(keyed, plan, "inner").select(*(c for c in docs.columns if c not in MIX), *MIX)
 
 
 STAGES = [
