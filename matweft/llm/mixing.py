@@ -19,6 +19,9 @@ from .common import staged
 #: Ranks are cut into so many bins for the running sums, so no sort is larger than one
 #: bin of one source, and the sum over bins has at most this many rows a source.
 BINS = 1 << 14
+#: With up to so many sources, what is known of each (some 50 bytes) is broadcast, so that
+#: the documents of a hot source need not meet; with more it is joined by source.
+BROADCAST_SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
@@ -74,8 +77,10 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     plan = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     plan = staged(plan, "mix_targets")
 
+    few = F.broadcast if plan.count() <= BROADCAST_SOURCES else lambda df: df
+
     whole = F.floor("fraction").cast("int")
-    docs_of = slim.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    docs_of = slim.join(few(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     odds = F.col("p") / (1 - F.col("p"))
     ranked = (
         docs_of.withColumn("whole", whole)
@@ -84,14 +89,14 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
         .withColumn("need", F.col("p") * F.col("source_size"))
         .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
     )
-    sampled = _nearest_prefix(ranked)
+    sampled = _nearest_prefix(ranked, few)
     for k in range(fixes):
-        sampled = _fix(staged(sampled, f"mix_sample{k}"))
+        sampled = _fix(staged(sampled, f"mix_sample{k}"), few)
     copies = F.col("whole") + F.col("extra")
     return sampled.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def _nearest_prefix(ranked: DataFrame) -> DataFrame:
+def _nearest_prefix(ranked: DataFrame, few) -> DataFrame:
     """extra = 1 for the lowest ranks of each source whose words come nearest to need.
 
     Running sums in two steps: over the words of the bins of a source, then, only in the
@@ -102,7 +107,7 @@ def _nearest_prefix(ranked: DataFrame) -> DataFrame:
     bins = bins.withColumn("upto", F.sum("in_bin").over(run))
     cut = bins.where("upto >= n").groupBy("source").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("in_bin")).alias("before")), "bin").alias("cut"))
     cut = cut.select(F.col("source").alias("s"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before"))
-    with_cut = ranked.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    with_cut = ranked.join(few(cut), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     at = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
     below = F.coalesce((F.col("bin") < F.col("cut_bin")) | (F.col("bin").isNotNull() & F.col("cut_bin").isNull()), F.lit(False))
     rest = with_cut.where(~at).withColumn("extra", below.cast("int"))
@@ -114,14 +119,14 @@ def _nearest_prefix(ranked: DataFrame) -> DataFrame:
     return rest.unionByName(edge).drop("cut_bin", "before")
 
 
-def _fix(sampled: DataFrame) -> DataFrame:
+def _fix(sampled: DataFrame, few) -> DataFrame:
     """Add or drop, in each source, the one document that brings it nearest to its need."""
     left = sampled.groupBy("source").agg((F.first("need") - F.sum(F.col("extra") * F.col("size"))).alias("off"))
     left = left.select(F.col("source").alias("s"), "off")
     after = F.abs(F.abs(F.col("off")) - F.col("size"))
     free = F.when(F.col("off") > 0, (F.col("extra") == 0) & F.col("bin").isNotNull()).otherwise(F.col("extra") == 1)
     best = (
-        sampled.join(left, F.col("source").eqNullSafe(F.col("s")))
+        sampled.join(few(left), F.col("source").eqNullSafe(F.col("s")))
         .where(free & (after < F.abs(F.col("off"))))
         .groupBy("s")
         .agg(F.min(F.struct(after.alias("after"), "rank", F.col("doc_id").alias("pick"), F.col("nth").alias("pick_nth"))).alias("b"))
@@ -129,4 +134,4 @@ def _fix(sampled: DataFrame) -> DataFrame:
     )
     on = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("pick")) & (F.col("nth") == F.col("pick_nth"))
     flipped = F.when(F.col("pick_nth").isNotNull(), 1 - F.col("extra")).otherwise(F.col("extra"))
-    return sampled.join(best, on, "left").withColumn("extra", flipped).select(*sampled.columns)
+    return sampled.join(few(best), on, "left").withColumn("extra", flipped).select(*sampled.columns)
