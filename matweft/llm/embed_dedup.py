@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, shuffle_partitions, staged
@@ -27,7 +27,7 @@ from .simhash import spanning
 MISS = 0.0005
 WIDTH = 2.0
 #: Unrelated vectors that a vector should meet in a table, about.
-STRANGERS = 64
+STRANGERS = 512
 #: Vectors of a bucket compared in one task; larger buckets are dealt out as pairs of parts.
 PART = 4096
 BLOCK = 1024
@@ -63,12 +63,22 @@ def table_keys(units: np.ndarray, k: int, tables: int, seed: int, width: float =
     return mixed * 0x5851F42D4C957F2D
 
 
+def _number(vectors: DataFrame) -> str:
+    """float where the numbers are floats, so that vectors travel as they came; else double."""
+    return "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+
+
+def _plain(vectors: DataFrame) -> Column:
+    """The embedding without negative zeros."""
+    kind = _number(vectors)
+    return F.expr(f"transform(cast(embedding as array<{kind}>), x -> x + cast(0 as {kind}))")
+
+
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
     """Rows (id, n, v): distinct usable vectors, how many rows have them, the least id."""
     ok = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    usable = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(f"coalesce({ok}, false)")
-    plain = usable.withColumn("v", F.expr("transform(embedding, x -> x + 0D)"))  # no negative zero
-    return plain.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    usable = vectors.where(f"coalesce({ok}, false)").select("vec_id", _plain(vectors).alias("v"))
+    return usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
 
 
 def near_pairs(distinct: DataFrame, cosine: float, seed: int = 11, miss: float = MISS) -> DataFrame:
@@ -76,7 +86,7 @@ def near_pairs(distinct: DataFrame, cosine: float, seed: int = 11, miss: float =
     linked to a vector, and a vector of the same class, or null."""
     spark = distinct.sparkSession
     k, tables = plan(distinct.count(), cosine, miss)
-    kind = distinct.schema["id"].dataType.simpleString()
+    kind, array = distinct.schema["id"].dataType.simpleString(), distinct.schema["v"].dataType.simpleString()
 
     def keyed(batches):
         for batch in batches:
@@ -84,48 +94,52 @@ def near_pairs(distinct: DataFrame, cosine: float, seed: int = 11, miss: float =
             lengths = np.array([len(r) for r in rows])
             for d in np.unique(lengths):  # vectors of different lengths never meet
                 at = np.flatnonzero(lengths == d)
-                got = table_keys(unit(np.array([rows[i] for i in at])), k, tables, seed)
+                got = table_keys(unit(np.array([rows[i] for i in at], np.float64)), k, tables, seed)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in range(3)), pa.array(list(got), pa.list_(pa.int64()))], names=["id", "n", "v", "keys"])
 
-    hashed = staged(distinct.select("id", "n", "v").mapInArrow(keyed, f"id {kind}, n long, v array<double>, keys array<long>"), "vectors")
+    hashed = staged(distinct.select("id", "n", "v").mapInArrow(keyed, f"id {kind}, n long, v {array}, keys array<long>"), "vectors")
     met = hashed.select(F.size("v").alias("d"), F.posexplode("keys").alias("tab", "key")).groupBy("d", "tab", "key").count().where("count > 1")
     # only vectors that meet another go on, and in a large bucket as members of pairs of parts
     parts = met.select("d", "tab", "key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    rows = hashed.select("id", "n", "v", "keys", F.size("v").alias("d"), F.posexplode("keys").alias("tab", "key")).join(parts, ["d", "tab", "key"])
+    rows = hashed.select("id", "n", "v", F.size("v").alias("d"), F.posexplode("keys").alias("tab", "key")).join(parts, ["d", "tab", "key"])
     mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     rows = rows.withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("id", "n", "v", "keys", "d", "tab", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part")
+    rows = rows.select("id", "n", "v", "d", "tab", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part")
     dealt = rows.repartition(shuffle_partitions(spark), "d", "tab", "key", "p", "q").sortWithinPartitions("d", "tab", "key", "p", "q", "part")
 
+    def keys_of(units):
+        return table_keys(units, k, tables, seed)
+
     def compare(batches):
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            marks = np.stack([held.column(c).to_numpy() for c in (4, 5, 6, 7, 8)])
+            marks = np.stack([held.column(c).to_numpy() for c in (3, 4, 5, 6, 7)])
             cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
             if len(cuts):
-                yield from _compared(held.slice(0, int(cuts[-1])), cosine)
+                yield from _compared(held.slice(0, int(cuts[-1])), cosine, keys_of)
                 held = held.slice(int(cuts[-1]))
         if held is not None:
-            yield from _compared(held, cosine)
+            yield from _compared(held, cosine, keys_of)
 
     return dealt.mapInArrow(compare, f"id {kind}, links long, to {kind}")
 
 
-def _compared(t: pa.Table, cosine: float):
-    """Links inside whole runs of rows with equal (d, tab, key, p, q)."""
-    d, tab, key, p, q, part = (t.column(c).to_numpy() for c in range(4, 10))
+def _compared(t: pa.Table, cosine: float, keys_of):
+    """Links inside whole runs of rows with equal (d, tab, key, p, q). Keys in earlier tables
+    are made anew, for the vectors of found pairs only, rather than sent along."""
+    d, tab, key, p, q, part = (t.column(c).to_numpy() for c in range(3, 9))
     n = t.column(1).to_numpy()
     marks = np.stack([d, tab, key, p, q])
     edges = np.concatenate([[0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1, [len(d)]])
-    vectors, hashes = t.column(2).combine_chunks(), t.column(3).combine_chunks()
+    vectors = t.column(2).combine_chunks()
     links, label = np.zeros(len(d), np.int64), np.arange(len(d))
     for a, b in zip(edges, edges[1:]):
         if b - a < 2:
             continue
-        u = unit(vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
-        keys = hashes.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+        u = unit(vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b - a, -1))
+        keys = None
         half = int(np.searchsorted(part[a:b], q[a])) if p[a] < q[a] else 0  # two parts: only across
         left, right = [], []
         for i0 in range(0, half or b - a, BLOCK):
@@ -134,8 +148,12 @@ def _compared(t: pa.Table, cosine: float):
                 i, j = i + i0, j + j0
                 if not half:
                     i, j = i[i < j], j[i < j]
-                first = ~(keys[i, : tab[a]] == keys[j, : tab[a]]).any(1)  # met in no earlier table
-                i, j = i[first], j[first]
+                if tab[a] and len(i):  # met in no earlier table
+                    keys = np.zeros((b - a, tab[a]), np.int64) if keys is None else keys
+                    some = np.unique(np.concatenate([i, j]))
+                    keys[some] = keys_of(u[some])[:, : tab[a]]
+                    first = ~(keys[i] == keys[j]).any(1)
+                    i, j = i[first], j[first]
                 np.add.at(links, a + i, n[a + j])
                 np.add.at(links, a + j, n[a + i])
                 left.append(i)
@@ -168,7 +186,7 @@ def embedding_classes(vectors: DataFrame, cosine: float = 0.95, seed: int = 11,
     named = distinct.select("v", "n", "id").join(counts, F.col("id") == F.col("cid"), "left").join(classes, F.col("id") == F.col("node"), "left")
     named = named.select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
     # null embeddings and others that are not usable find no partner here
-    as_double = slim.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.expr("transform(cast(embedding as array<double>), x -> x + 0D)")).alias("v"))
+    as_double = slim.select("vec_id", F.when(F.col("vec_id").isNotNull(), _plain(slim)).alias("v"))
     got = as_double.join(named, "v", "left")
     component = F.coalesce("component", "vec_id")
     return got.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
