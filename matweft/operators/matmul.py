@@ -9,16 +9,23 @@ from pyspark.sql import functions as F
 
 from matweft.functions import SEED, cell_integers, wrap_int32
 
+from .generators import omega
+
 #: Largest right-hand side (numbers) that goes to every task; larger ones are joined.
 BROADCAST_CELLS = 4_000_000
 
 
-def multiply_coo(a: DataFrame, b: DataFrame, transpose_a: bool = False, wrap: bool = False) -> DataFrame:
-    """A B, or Aᵀ B: an equi-join on the inner index and a sum."""
+def multiply_coo(a: DataFrame, b: DataFrame, transpose_a: bool = False, wrap: bool = False, wide: bool = False) -> DataFrame:
+    """A B, or Aᵀ B: an equi-join on the inner index and a sum.
+
+    Integer sums that leave 64 bits are an error; wrap gives 32-bit arithmetic instead, wide
+    sums of 38 decimal digits.
+    """
     out, inner = ("j", "i") if transpose_a else ("i", "j")
     left = a.select(F.col(out).alias("i"), F.col(inner).alias("k"), F.col("v").alias("va"))
     right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("vb"))
-    total = F.sum(F.col("va") * F.col("vb"))
+    each = F.col("va").cast("decimal(19,0)") * F.col("vb").cast("decimal(19,0)") if wide else F.col("va") * F.col("vb")
+    total = F.sum(each)
     return left.join(right, "k").groupBy("i", "j").agg((wrap_int32(total) if wrap else total).alias("v"))
 
 
@@ -76,6 +83,15 @@ def multiply_generated(rows: DataFrame, width: int, seed: int = SEED) -> DataFra
     return _per_row(rows, width, lambda inner: cell_integers(range(inner), width, seed=seed))
 
 
+def multiply_dense(rows: DataFrame, inner: int, width: int, strategy: str = "generate", seed: int = SEED) -> DataFrame:
+    """A B for the random B (inner x width), by either strategy: generate or send."""
+    if strategy == "generate":
+        return multiply_generated(rows, width, seed)
+    if strategy == "send":
+        return multiply_sent(rows, omega(rows.sparkSession.range(inner).select(F.col("id").alias("i")), width, seed=seed), inner, width)
+    raise ValueError(f"strategy {strategy!r} is not generate or send")
+
+
 def multiply_sent(rows: DataFrame, b: DataFrame, inner: int, width: int) -> DataFrame:
     """A B with B (coo, inner x width) made once and sent to every task, if it is small
     enough; else as a join on the inner index."""

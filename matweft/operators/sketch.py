@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from matweft.functions import SEED, cell_integers
 
+from .encodings import blocks_to_coo
 from .generators import omega
 from .kernels import BLOCK
 from .matmul import multiply_coo
@@ -129,7 +130,12 @@ def sketch_linear(rows: DataFrame, n: int, rank: int, seed: int = SEED) -> tuple
 
 
 def reconstruct(y: DataFrame, z: DataFrame, n: int, rank: int, rcond: float = 1e-15) -> DataFrame:
-    """coo of Â = Y Z⁺ Yᵀ. Z (rank x rank) is inverted on the driver; Y Z⁺ meets Yᵀ by row
+    """coo of Â = Y Z⁺ Yᵀ."""
+    return blocks_to_coo(reconstruct_blocks(y, z, n, rank, rcond), BLOCK)
+
+
+def reconstruct_blocks(y: DataFrame, z: DataFrame, n: int, rank: int, rcond: float = 1e-15) -> DataFrame:
+    """blocks of Â = Y Z⁺ Yᵀ. Z (rank x rank) is inverted on the driver; Y Z⁺ meets Yᵀ by row
     panels as in a kernel."""
     small = np.zeros((rank, rank))
     for r in z.collect():  # rank² numbers
@@ -148,6 +154,4 @@ def reconstruct(y: DataFrame, z: DataFrame, n: int, rank: int, rcond: float = 1e
             out = [(p.values.to_numpy().reshape(-1, rank) @ inverse @ q.values.to_numpy().reshape(-1, rank).T).ravel() for p, q in zip(batch.column(4), batch.column(5))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.list_(pa.float64()))], names=["rb", "cb", "nrow", "ncol", "data"])
 
-    from .encodings import blocks_to_coo
-
-    return blocks_to_coo(pairs.mapInArrow(run, "rb int, cb int, nrow int, ncol int, data array<double>"), BLOCK)
+    return pairs.mapInArrow(run, "rb int, cb int, nrow int, ncol int, data array<double>")

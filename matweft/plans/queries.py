@@ -272,14 +272,13 @@ def _long(rows):
 @query(GEN)
 def matmul_gen(spark, sf_dir):
     """X B, B (64 x 8) made anew in every task."""
-    return _long(matmul.multiply_generated(features(spark, sf_dir), RANK))
+    return _long(matmul.multiply_dense(features(spark, sf_dir), 64, RANK, "generate"))
 
 
 @query(GEN)
 def matmul_comm(spark, sf_dir):
     """X B, B made once and sent."""
-    b = generators.omega(spark.range(64).select(F.col("id").alias("i")), RANK)
-    return _long(matmul.multiply_sent(features(spark, sf_dir), b, 64, RANK))
+    return _long(matmul.multiply_dense(features(spark, sf_dir), 64, RANK, "send"))
 
 
 @query(f"WITH {X} SELECT a.i, b.i AS j, sum(a.v * b.v)::bigint AS v FROM x a JOIN x b ON a.j = b.j GROUP BY ALL")
@@ -363,10 +362,11 @@ def recon_general(spark, sf_dir):
     """Relative error of the reconstruction of A at the full rank of X (no SQL: pseudo-inverse)."""
     n = count(spark, sf_dir)
     y, z = sketch.sketch_linear(features(spark, sf_dir), n, 64)
-    a = encodings.blocks_to_coo(gram(spark, sf_dir), kernels.BLOCK)
-    back = sketch.reconstruct(y, z, n, 64)
-    both = a.join(back.withColumnRenamed("v", "w"), ["i", "j"])
-    return both.agg(F.count("*").alias("n_cells"), F.sqrt(F.sum((F.col("v") - F.col("w")) ** 2) / F.sum(F.col("v") ** 2)).alias("relative_error"))
+    back = sketch.reconstruct_blocks(y, z, n, 64).select("rb", "cb", F.col("data").alias("other"))
+    # block by block: the cells of a block are zipped, not joined
+    both = gram(spark, sf_dir).join(back, ["rb", "cb"]).select(F.explode(F.arrays_zip("data", "other")).alias("c"))
+    off = F.sum((F.col("c.data") - F.col("c.other")) ** 2)
+    return both.agg(F.count("*").alias("n_cells"), F.sqrt(off / F.sum(F.col("c.data") ** 2)).alias("relative_error"))
 
 
 @query(f"SELECT {N} * {RANK} AS n_y, 0::bigint AS far_y, {RANK * RANK}::bigint AS n_z, 0::bigint AS far_z")

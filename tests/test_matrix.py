@@ -48,6 +48,14 @@ def test_transposed_and_wrapped_products(spark):
     assert np.array_equal(got, want)
 
 
+def test_wide_sums(spark):
+    big = spark.createDataFrame([(0, k, 3 * 10**18) for k in range(4)], "i long, j long, v long")
+    tall = spark.createDataFrame([(k, 0, 5) for k in range(4)], "i long, j long, v long")
+    assert int(matmul.multiply_coo(big, tall, wide=True).first().v) == 6 * 10**19
+    with pytest.raises(Exception, match="OVERFLOW"):
+        matmul.multiply_coo(big, tall).collect()
+
+
 def test_generated_and_sent_sides_agree(spark, monkeypatch):
     rows = rows_of(spark, A)
     want = A @ fn.cell_integers(range(K), 4)
