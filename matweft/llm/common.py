@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Cuts the lineage at a place every executor can read, so that a lost executor costs
@@ -33,7 +33,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
