@@ -27,12 +27,12 @@ _TABLE = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 
 
 def trigrams(text: str) -> np.ndarray:
-    """Bucket of each byte trigram, of which at most one byte at the edge is no letter."""
+    """Bucket of each byte trigram about a letter; a word of one byte is a trigram with both its edges."""
     raw = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "surrogatepass").translate(_TABLE), np.uint8)
     if len(raw) < 3:
         return np.zeros(0, np.int64)
     a, b, c = raw[:-2], raw[1:-1], raw[2:]
-    keep = (b != 32) & ((a != 32) | (c != 32))
+    keep = b != 32
     code = (a[keep].astype(np.uint32) << 16) | (b[keep].astype(np.uint32) << 8) | c[keep]
     return ((code * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int64)
 

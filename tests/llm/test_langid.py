@@ -36,3 +36,13 @@ def test_edges(spark):
     nothing = langid.fit(table.limit(0), F.lit(True))
     assert {r.lang_pred for r in langid.languages(table, nothing).collect()} == {"und"}
     assert langid.languages(table.limit(0), model).collect() == []
+
+
+def test_words_of_one_letter(spark):
+    rows = [(1, "a cat and a dog"), (2, "o gato e o rato"), (3, "A."), (4, "e - e"), (5, "1.")]
+    table = docs(spark, rows)
+    from pyspark.sql import functions as F
+
+    table = table.withColumn("lang", F.expr("case doc_id when 1 then 'en' when 2 then 'pt' end"))
+    got = {r.doc_id: (r.lang_pred, r.score > 0) for r in langid.languages(table, langid.fit(table, F.lit(True))).collect()}
+    assert got[3] == ("en", True) and got[4] == ("pt", True) and got[5] == ("und", False)
