@@ -1,7 +1,8 @@
 """A corpus from documents to mix: five stages, each on all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next one's docs. A row is told from others by its doc_id and the hash
+and read again as the next one's docs. The last one plans the mix, and run() returns its rows:
+what is left out is dropped, what is taken twice stands twice. A row is told from others by its doc_id and the hash
 of its text; rows alike in both are one document.
 """
 
@@ -68,6 +69,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _joined(keyed, plan, "inner").select(*(c for c in docs.columns if c not in MIX), *MIX)
 
 
+def in_mix(mixed: DataFrame) -> DataFrame:
+    """The rows of the mix: each document as often as its copies say, numbered from 1 in copy."""
+    return mixed.drop("copy").where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+
+
 STAGES = [
     ("quality", keep_quality),
     ("line_dedup", drop_lines),
@@ -85,4 +91,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline_{name}")
-    return docs
+    return in_mix(docs)

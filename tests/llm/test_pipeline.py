@@ -67,3 +67,14 @@ def test_mix(kept):
         rows = [r for r in mixed if r.source == source]
         assert abs(sum(r.taken for r in rows) - rows[0].target) <= max(3, 0.02 * rows[0].target)
         assert all(r.taken == r.copies * r.size and r.copies <= 2 for r in rows)
+
+
+def test_run_returns_the_mix(spark, small, monkeypatch):
+    monkeypatch.setattr(cp, "STAGES", [("mixing", cp.mix_sources)])
+    rows = cp.run(spark, small).collect()
+    docs = spark.read.parquet(f"{small}/documents.parquet").count()
+    assert len({(r.doc_id, r.copy) for r in rows}) == len(rows) and len({r.doc_id for r in rows}) < docs
+    for source in {r.source for r in rows}:
+        mine = [r for r in rows if r.source == source]
+        assert abs(sum(r.size for r in mine) - mine[0].target) <= max(3, 0.02 * mine[0].target)
+        assert all(1 <= r.copy <= r.copies for r in mine)
