@@ -112,26 +112,34 @@ def phrases(items: DataFrame, width: int = 10) -> DataFrame:
     return slim.mapInArrow(run, "item string, terms array<binary>").groupBy("terms").agg(F.collect_set("item").alias("items"))
 
 
-def intersect(lists: list, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def intersect(lists: list, slop: int = 0, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """First and last positions of the phrase whose k-th term stands at lists[k].
 
     slop 0: each term right after the one before. More: each term may be up to slop
-    positions off its place, counted from the rarest term.
+    positions off its place, counted from the rarest term, and is the nearest one in the
+    document of the rarest term (of two as near, the earlier); ends are the positions after
+    each document.
     """
     order = sorted(range(len(lists)), key=lambda k: len(lists[k]))
     start = lists[order[0]].astype(np.int64) - order[0]
     low, high = start + order[0], start + order[0]
+    if slop:
+        doc = np.searchsorted(ends, low, "right")
+        first, end = np.append(0, ends)[doc], ends[doc]
     for k in order[1:]:
         if not len(start):
             break
         at = np.searchsorted(lists[k], start + k)
         if slop:
-            before = lists[k][np.maximum(at - 1, 0)]
-            after = lists[k][np.minimum(at, len(lists[k]) - 1)]
-            near = np.where(abs(start + k - before) <= abs(after - start - k), before, after)
+            far = np.iinfo(np.int64).max // 4
+            before, after = lists[k][np.maximum(at - 1, 0)], lists[k][np.minimum(at, len(lists[k]) - 1)]
+            off = [np.where((x >= first) & (x < end), abs(start + k - x), far) for x in (before, after)]
+            near = np.where(off[0] <= off[1], before, after)
+            good = np.minimum(*off) <= slop
+            first, end = first[good], end[good]
         else:
             near = lists[k][np.minimum(at, len(lists[k]) - 1)]
-        good = abs(near - (start + k)) <= slop
+            good = near == start + k
         start, low, high = start[good], np.minimum(low[good], near[good]), np.maximum(high[good], near[good])
     return low, high
 
@@ -141,7 +149,7 @@ def search(index: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
     inside matches, and the items whose windows match, a row for each block of phrases.
 
     wanted has the rows of phrases(). With slop 0 matches are exact phrases, else proximity
-    matches; a proximity match that would cross documents is none.
+    matches inside a document.
     """
     wanted = staged(wanted, "phrases")
     blocks = max(1, -(-wanted.count() // BLOCK_PHRASES))
@@ -173,7 +181,7 @@ def search(index: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
                     lists.append(cache[t])
                 if len(lists) < len(phrase["terms"]):
                     continue
-                for a, b in zip(*intersect(lists, slop)):
+                for a, b in zip(*intersect(lists, slop, base + length + 1)):
                     nth = int(np.searchsorted(base, a, "right")) - 1
                     if b < base[nth] + length[nth]:
                         got = hits.setdefault(nth, (set(), set()))

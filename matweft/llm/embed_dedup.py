@@ -75,10 +75,12 @@ def _plain(vectors: DataFrame) -> Column:
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """Rows (id, n, v): distinct usable vectors, how many rows have them, the least id."""
-    ok = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
+    """Rows (id, n, v, vec_id): distinct usable vectors, a 64-bit hash that names each, how many
+    rows have it, the least vec_id. Among 10^9 vectors there is a chance of 3 % that any two
+    get the same name."""
+    ok = "size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
     usable = vectors.where(f"coalesce({ok}, false)").select("vec_id", _plain(vectors).alias("v"))
-    return usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    return usable.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).withColumn("id", F.xxhash64("v"))
 
 
 def near_pairs(distinct: DataFrame, cosine: float, seed: int = 11, miss: float = MISS) -> DataFrame:
@@ -171,9 +173,10 @@ def embedding_classes(vectors: DataFrame, cosine: float = 0.95, seed: int = 11,
     Links join rows whose cosine is at least `cosine`; identical vectors link with each
     other. n_links counts the rows linked directly, component_id is the smallest vec_id
     reachable, kept tells whether it is the row's own. Vectors that are null, empty, zero or
-    hold null or non-finite numbers, and rows with a null vec_id, link with nothing. Vectors
-    of different lengths do not link. Rows that share a vec_id count each for themselves and
-    share its component. Other columns are ignored.
+    hold null or non-finite numbers link with nothing. Vectors of different lengths do not
+    link. Rows that share a vec_id are told apart by their vectors. A row with a null vec_id
+    links like others but names no component: where no other is reachable its component is
+    null and it is kept. Other columns are ignored.
 
     A pair at the threshold is missed with probability `miss`, closer ones less often; no
     pair below the threshold is linked.
@@ -181,12 +184,14 @@ def embedding_classes(vectors: DataFrame, cosine: float = 0.95, seed: int = 11,
     slim = vectors.select("vec_id", "embedding")
     distinct = staged(distinct_vectors(slim), "distinct_vectors")
     found = staged(near_pairs(distinct.select("id", "n", "v"), cosine, seed, miss), "near_vectors")
-    counts = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "cid")
-    classes = connected_components(found.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    named = distinct.select("v", "n", "id").join(counts, F.col("id") == F.col("cid"), "left").join(classes, F.col("id") == F.col("node"), "left")
-    named = named.select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
+    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+    classes = connected_components(found.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "id")
+    named = distinct.select("id", "n", "vec_id").join(counts, "id", "left").join(classes, "id", "left")
+    named = staged(named.select("id", "vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("class")), "vector_classes")
+    least = named.groupBy("class").agg(F.min("vec_id").alias("component"))
+    named = named.join(least, "class").join(distinct.select("id", "v"), "id").select("v", "links", "component")
     # null embeddings and others that are not usable find no partner here
-    as_double = slim.select("vec_id", F.when(F.col("vec_id").isNotNull(), _plain(slim)).alias("v"))
-    got = as_double.join(named, "v", "left")
+    got = slim.select("vec_id", _plain(slim).alias("v")).join(named, "v", "left")
     component = F.coalesce("component", "vec_id")
-    return got.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("vec_id") == component, component.isNull())
+    return got.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))

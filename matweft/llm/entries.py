@@ -55,14 +55,14 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS rid, vec_id, embedding::double[] AS e, list_sum(list_transform(embedding::double[], lambda x: x * x)) AS n2 FROM embeddings),
-u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND n2 > 0 AND isfinite(n2) AND len(list_filter(e, lambda x: x IS NULL)) = 0),
+u AS (SELECT * FROM v WHERE n2 > 0 AND isfinite(n2) AND len(list_filter(e, lambda x: x IS NULL)) = 0),
 l AS (
   SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.rid <> b.rid AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / sqrt(a.n2 * b.n2) >= 0.95),
 r AS (SELECT rid AS a, rid AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT r.a AS rid, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.b GROUP BY r.a),
 n AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY a)
-SELECT v.vec_id, coalesce(n.n_links, 0)::bigint AS n_links, c.component_id, coalesce(v.vec_id = c.component_id, true) AS kept
+SELECT v.vec_id, coalesce(n.n_links, 0)::bigint AS n_links, c.component_id, coalesce(v.vec_id = c.component_id, c.component_id IS NULL) AS kept
 FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
 """
 

@@ -16,16 +16,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 BUCKETS = 1 << 13
 ROUNDS = 30
 #: A language with less of a document than this is not tried as a further one.
 LEAST_SHARE = 0.02
 SMOOTH = 0.5
+#: Languages of a model, whose table of some 64 KB each goes to every executor.
+MAX_LANGUAGES = 1000
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _TABLE = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (the pattern also meets fractions and the like)."""
+    return any(m.group().isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def trigrams(text: str) -> np.ndarray:
     """Bucket of each byte trigram about a letter; a word of one byte is a trigram with both its edges."""
     raw = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "surrogatepass").translate(_TABLE), np.uint8)
@@ -39,7 +48,8 @@ def trigrams(text: str) -> np.ndarray:
 
 def fit(docs: DataFrame, learn: Column) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihoods of buckets) from text and lang of documents that meet
-    learn and have both. The counts cover all of them; a language has at most BUCKETS."""
+    learn and have both. The counts cover all of them; a language has at most BUCKETS, and
+    more than MAX_LANGUAGES languages are an error."""
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
@@ -54,6 +64,9 @@ def fit(docs: DataFrame, learn: Column) -> tuple[list[str], np.ndarray]:
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     got = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # one row a language to the driver, of at most BUCKETS numbers
+    got = staged(got, "lang_counts")
+    if (n := got.select("lang").distinct().count()) > MAX_LANGUAGES:
+        raise ValueError(f"{n} languages; at most {MAX_LANGUAGES} can be told apart")
     got = got.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).orderBy("lang").collect()
     table = np.full((len(got), BUCKETS), SMOOTH)
     for k, r in enumerate(got):
@@ -98,18 +111,21 @@ def languages(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     """Rows (doc_id, lang_pred, score, langs), one per row of docs (doc_id, text).
 
     lang_pred is the language with the largest proportion in the selected set, score that
-    proportion, langs the whole set with proportions. Texts that are null or without any
-    letter, and all texts if no language was learned, are und with score 0. Whole texts
+    proportion, langs the whole set with proportions. One letter is enough for a language.
+    Texts that are null or without any letter (digits and fractions are none), and all texts if no language was learned, are und with score 0. Whole texts
     count, repeated rows are separate, other columns are ignored.
     """
-    names, logs = model
+    names = model[0]
+    # languages x BUCKETS numbers, fetched once an executor
+    held = docs.sparkSession.sparkContext.broadcast(model[1])
 
     def run(batches):
+        logs = held.value
         for batch in batches:
             pred, score, sets = [], [], []
             for text in batch.column(1):
                 text = text.as_py()
-                got = trigrams(text) if names and text and _LETTER.search(text) else ()
+                got = trigrams(text) if names and text and has_letter(text) else ()
                 if len(got):
                     counts = np.bincount(got, minlength=BUCKETS)
                     where = np.flatnonzero(counts)

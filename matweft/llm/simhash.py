@@ -190,16 +190,21 @@ def _bucket_links(held: list, bits: int):
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 4, bits: int = 4, blocks: int = 6) -> DataFrame:
-    """Rows (doc_id, text_hash, fp, component_id), one per row of docs.
+    """Rows (doc_id, text_hash, fp, component_id, class), one per row of docs; class is a
+    fingerprint that names the class of linked ones.
 
     component_id is the smallest doc_id reachable through fingerprints at most `bits` bits
     apart, the document itself included. Null and empty texts have fingerprint zero, which
-    links like any other. Rows with a null doc_id carry no links: they get the component of
-    their fingerprint if other rows have it, else null. Repeated rows stay. Columns other
-    than doc_id and text are ignored. No documents give no rows.
+    links like any other. Rows with a null doc_id link like others, but name no component: a
+    class of such rows only has a null one. Repeated rows stay. Columns other than doc_id and
+    text are ignored. No documents give no rows.
     """
     fps = staged(fingerprints(docs, shingle), "simhash")
-    codes = staged(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash_codes")
-    classes = connected_components(near_links(codes, bits, blocks))
-    named = codes.join(classes, codes.id == classes.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
+    codes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash_codes")
+    # fingerprints stand for themselves, so that those of rows without an id link as well
+    links = near_links(codes.select(F.col("fp").alias("id"), "fp"), bits, blocks)
+    classes = connected_components(links).select(F.col("node").alias("fp"), "component")
+    named = staged(codes.join(classes, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("class")), "simhash_classes")
+    least = named.groupBy("class").agg(F.min("id").alias("component_id"))
+    named = named.join(least, "class").select("fp", "component_id", "class")
+    return fps.join(named, "fp", "left").select("doc_id", "text_hash", "fp", "component_id", "class")

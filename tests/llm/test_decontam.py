@@ -64,3 +64,12 @@ def test_proximity(spark):
     assert [(r.nth, r.hit) for r in decontam.search(index, wanted, slop=1).collect()] == [(0, [0, 1, 2, 3])]
     low, high = decontam.intersect([np.array([4, 9]), np.array([5, 30])])
     assert low.tolist() == [4] and high.tolist() == [5]
+
+
+def test_proximity_stays_inside_documents(spark):
+    """The nearest occurrence may stand in the next document; one in the same still counts."""
+    rows = [(1, "beta x x alpha"), (2, "beta y"), (3, "alpha"), (4, "beta")]
+    items = spark.createDataFrame([("i", "alpha beta")], "item_id string, text string")
+    for some in (rows[:1], rows):
+        got = {r.doc_id: r.n_hit for r in decontam.contamination(docs(spark, some), items, slop=4).collect()}
+        assert got[1] == 4 and not any(n for i, n in got.items() if i != 1)

@@ -21,14 +21,14 @@ def brute(rows, cosine=0.95):
 
     for i in range(len(rows)):
         for j in range(i):
-            if usable[i] and usable[j] and None not in (rows[i][0], rows[j][0]) and len(units[i]) == len(units[j]) and units[i] @ units[j] >= cosine:
+            if usable[i] and usable[j] and len(units[i]) == len(units[j]) and units[i] @ units[j] >= cosine:
                 links[i] += 1
                 links[j] += 1
-                a, b = sorted((root(i), root(j)), key=lambda k: rows[k][0])
+                a, b = sorted((root(i), root(j)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
                 label[b] = a
     least = {}
     for k, (i, _) in enumerate(rows):
-        least[root(k)] = i if root(k) not in least or i is not None and i < least[root(k)] else least[root(k)]
+        least[root(k)] = i if root(k) not in least or i is not None and (least[root(k)] is None or i < least[root(k)]) else least[root(k)]
     return sorted(((i, links[k], least[root(k)], i == least[root(k)]) for k, (i, _) in enumerate(rows)), key=str)
 
 
@@ -58,3 +58,12 @@ def test_plan():
 def test_empty(spark):
     assert embed_dedup.embedding_classes(table(spark, [(1, [1.0])]).limit(0)).collect() == []
     assert list(map(tuple, embed_dedup.embedding_classes(table(spark, [(7, None)])).collect())) == [(7, 0, 7, True)]
+
+
+def test_shared_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (8, [0.01, 1.0]), (9, [0.02, 1.0])]
+    got = sorted(map(tuple, embed_dedup.embedding_classes(table(spark, rows)).collect()))
+    assert got == [(5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (8, 2, 5, False), (9, 2, 5, False)]
+    rows = [(2, [1.0, 0.01]), (5, [1.0, 0.0]), (5, [0.0, 1.0]), (8, [0.01, 1.0]), (None, [1.0, 0.02]), (None, [-1.0, 0.0])]
+    got = sorted(map(tuple, embed_dedup.embedding_classes(table(spark, rows)).collect()), key=str)
+    assert got == sorted([(2, 2, 2, True), (5, 2, 2, False), (5, 1, 5, True), (8, 1, 5, False), (None, 2, 2, False), (None, 0, None, True)], key=str)

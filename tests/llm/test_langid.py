@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from matweft.llm import entries, langid
 from tests.llm.helpers import docs
@@ -46,3 +47,48 @@ def test_words_of_one_letter(spark):
     table = table.withColumn("lang", F.expr("case doc_id when 1 then 'en' when 2 then 'pt' end"))
     got = {r.doc_id: (r.lang_pred, r.score > 0) for r in langid.languages(table, langid.fit(table, F.lit(True))).collect()}
     assert got[3] == ("en", True) and got[4] == ("pt", True) and got[5] == ("und", False)
+
+
+def test_one_letter_and_no_letter(spark):
+    train = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("a cat and a dog", "en"), ("ein Hund und eine Katze", "de")] * 3)], "doc_id long, text string, lang string")
+    model = langid.fit(train, F.lit(True))
+    table = docs(spark, [(1, "a"), (2, "I"), (3, "x y z"), (4, "½"), (5, "²³ 12"), (6, "½ a")])
+    got = {r.doc_id: r.lang_pred for r in langid.languages(table, model).collect()}
+    assert {i for i, p in got.items() if p == "und"} == {4, 5}
+
+
+def test_selection_matches_a_plain_computation():
+    """EM and the choice of languages, written out with loops."""
+    import math
+
+    rng = np.random.default_rng(3)
+    like = rng.dirichlet(np.ones(40) * 0.2, 4)
+    counts = np.round(60 * (0.6 * like[1] + 0.4 * like[3]) + 0.3)
+    keep = counts > 0
+    logs, counts = np.log(like[:, keep] + 1e-9), counts[keep]
+
+    def em(which):
+        share = [1 / len(which)] * len(which)
+        was = -math.inf
+        for _ in range(langid.ROUNDS):
+            mixed = [sum(s * math.exp(logs[k][i]) for s, k in zip(share, which)) for i in range(len(counts))]
+            now = sum(c * math.log(m) for c, m in zip(counts, mixed))
+            share = [s * sum(c * math.exp(logs[k][i]) / m for i, (c, m) in enumerate(zip(counts, mixed))) / sum(counts) for s, k in zip(share, which)]
+            if now - was < 1e-3:
+                break
+            was = now
+        return share, now
+
+    first, _ = em(range(4))
+    order = sorted(range(4), key=lambda k: -first[k])
+    best = (-math.inf, None, None)
+    for k in range(1, 5):
+        if k > 1 and first[order[k - 1]] < langid.LEAST_SHARE:
+            break
+        share, value = em(order[:k])
+        value -= (k - 1) * 0.5 * math.log(sum(counts) + 1)
+        if value > best[0]:
+            best = (value, order[:k], share)
+    which, part = langid.identify(counts, logs)
+    assert sorted(which.tolist()) == sorted(best[1])
+    assert np.allclose(dict(zip(which.tolist(), part))[best[1][0]], best[2][0], atol=1e-6)

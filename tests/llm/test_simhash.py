@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 import xxhash
 
 from matweft.llm import simhash
@@ -60,3 +61,11 @@ def test_empty_and_null_ids(spark):
     assert simhash.simhash_classes(docs(spark, [(1, "x")]).limit(0)).collect() == []
     got = sorted(map(tuple, simhash.simhash_classes(docs(spark, [(None, "a"), (4, "a"), (None, "b")])).select("doc_id", "component_id").collect()), key=str)
     assert got == [(4, 4), (None, 4), (None, None)]
+
+
+def test_null_ids_link(spark, monkeypatch):
+    """Fingerprints 0, 0b1111, 0xff: the middle one, of a row without id, joins the others."""
+    codes = {"a": 0, "b": 0b1111, "c": 0xFF}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.select("doc_id", F.lit(1).cast("long").alias("text_hash"), F.create_map(*(F.lit(x) for kv in codes.items() for x in kv))[F.col("text")].cast("long").alias("fp")))
+    got = sorted(simhash.simhash_classes(docs(spark, [(4, "a"), (None, "b"), (9, "c")])).select("fp", "component_id").collect())
+    assert [r.component_id for r in got] == [4, 4, 4]
