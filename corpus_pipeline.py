@@ -37,33 +37,38 @@ def _as_id(docs: DataFrame, *others: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores at least 0.3."""
+    """Documents that the quality classifier scores at least 0.3. Null and empty texts get the
+    score of the bias alone; repeated rows share their score."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(5) != 0)
     return quality.score(docs, model, SCORE).where(F.col(SCORE) >= 0.3).drop(SCORE)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less lines that near-copy an earlier line; n_chars follows the text."""
+    """All documents, less lines that near-copy an earlier line; n_chars follows the text. Null
+    texts stay null; rows alike in doc_id and text lose the same lines."""
     kept = line_dedup.dedup_lines(docs, counts=None)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked fingerprints the document with the smallest doc_id."""
-    classes = simhash.simhash_classes(docs).where("doc_id <=> component_id")
-    kept = classes.select(F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH)).distinct()
+    """Of each class of linked fingerprints the document with the smallest doc_id, null last; of
+    several with that id the one with the least hash of its text. Null and empty texts are
+    one class; rows alike in doc_id and text are one document and stay once."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH)))
+    kept = simhash.simhash_classes(docs).groupBy("class").agg(first.alias("k")).select(f"k.{ID}", f"k.{HASH}")
     return _joined(_keyed(docs), kept, "left_semi").dropDuplicates(["doc_id", HASH]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item. Null and empty texts have none."""
     keyed = _keyed(docs)
     found = decontam.contamination(_as_id(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _joined(keyed, found.where("n_hit > 0").select("doc_id.*").distinct(), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their copies in the mix (0: left out), sizes and targets."""
+    """All documents with their copies in the mix (0: left out), sizes and targets. Null and
+    empty texts have size 0; a null source is a source of its own."""
     keyed = _keyed(docs).drop(*MIX)
     plan = mixing.mix(_as_id(keyed, "source")).select("doc_id.*", *MIX).dropDuplicates([ID, HASH])
     return _joined(keyed, plan, "inner").select(*(c for c in docs.columns if c not in MIX), *MIX)

@@ -45,8 +45,15 @@ def _times(labels: dict[str, str]) -> list[Column]:
     return [F.coalesce(F.regexp_extract("body", label + TIME, 1).try_cast("double"), F.lit(0.0)).alias(name) for name, label in labels.items()]
 
 
+def _held(logs: DataFrame) -> DataFrame:
+    """logs with name and body through a generator: what they are made by is computed once a
+    row and not again in every pattern."""
+    return logs.select(F.inline(F.array(F.struct("name", "body", "modified"))))
+
+
 def parse_sketch_logs(logs: DataFrame) -> DataFrame:
     """One row a log with a header; a header that contradicts the name is an error."""
+    logs = _held(logs)
     part = F.split("name", r"[_.x]+")
     number = lambda k: F.get(part, F.lit(k)).cast("int")
     head = [F.regexp_extract("body", SKETCH_HEADER, k) for k in (1, 2, 3)]
@@ -59,6 +66,7 @@ def parse_sketch_logs(logs: DataFrame) -> DataFrame:
 
 def parse_matmul_logs(logs: DataFrame) -> DataFrame:
     """One row a log with a header; a header that contradicts the name is an error."""
+    logs = _held(logs)
     part = F.split("name", "_")
     number = lambda k: F.get(part, F.lit(k)).cast("int")
     head = [F.regexp_extract("body", MATMUL_HEADER, k).try_cast("int") for k in range(2, 9)]
