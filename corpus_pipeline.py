@@ -1,9 +1,9 @@
 """A corpus from documents to mix: five stages, each on all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next one's docs. The last one plans the mix, and run() returns its rows:
-what is left out is dropped, what is taken twice stands twice. A row is told from others by its doc_id and the hash
-of its text; rows alike in both are one document.
+and read again as the next one's docs. The last one returns the mix: what is left out is
+dropped, what is taken twice stands twice. A row is told from others by its doc_id and the
+hash of its text; rows alike in both are one document.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from matweft.session import importable
 
 #: Names of columns that no table has; they do not leave a stage.
 ID, HASH, SCORE = "__doc_id", "__text_hash", "__quality_score"
-MIX = ("size", "source_size", "target", "copies", "taken")
+MIX = ("size", "source_size", "target", "copies", "taken", "copy")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -67,16 +67,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their copies in the mix (0: left out), sizes and targets. Null and
-    empty texts have size 0; a null source is a source of its own."""
+    """The rows of the mix, each document as often as its copies say, numbered from 1 in copy,
+    with sizes and targets. Null and empty texts have size 0 and stand with the whole copies
+    of their source; a null source is a source of its own."""
     keyed = _keyed(docs).drop(*MIX)
-    plan = mixing.mix(_as_id(keyed, "source")).select("doc_id.*", *MIX).dropDuplicates([ID, HASH])
-    return _joined(keyed, plan, "inner").select(*(c for c in docs.columns if c not in MIX), *MIX)
-
-
-def in_mix(mixed: DataFrame) -> DataFrame:
-    """The rows of the mix: each document as often as its copies say, numbered from 1 in copy."""
-    return mixed.drop("copy").where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    plan = mixing.mix(_as_id(keyed, "source")).select("doc_id.*", *MIX[:-1]).dropDuplicates([ID, HASH]).where("copies > 0")
+    mixed = _joined(keyed, plan, "inner").select(*(c for c in docs.columns if c not in MIX), *MIX[:-1])
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
 
 STAGES = [
@@ -96,4 +93,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline_{name}")
-    return in_mix(docs)
+    return docs
