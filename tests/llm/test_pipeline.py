@@ -60,21 +60,35 @@ def test_contaminated(spark, small, kept):
     assert pairs(kept[4]) == [r for r in pairs(kept[3]) if r[0] not in hit]
 
 
+def mixed_well(rows):
+    assert len({(r.doc_id, r.copy) for r in rows}) == len(rows)
+    for source in {r.source for r in rows}:
+        mine = [r for r in rows if r.source == source]
+        assert abs(sum(r.size for r in mine) - mine[0].target) <= max(3, 0.02 * mine[0].target)
+        assert all(1 <= r.copy <= r.copies <= 2 for r in mine)
+
+
 def test_mix(kept):
-    mixed = kept[5].collect()
-    assert len(mixed) == kept[4].count()
-    for source in {r.source for r in mixed}:
-        rows = [r for r in mixed if r.source == source]
-        assert abs(sum(r.taken for r in rows) - rows[0].target) <= max(3, 0.02 * rows[0].target)
-        assert all(r.taken == r.copies * r.size and r.copies <= 2 for r in rows)
+    rows = kept[5].collect()
+    mixed_well(rows)
+    assert {(r.doc_id, r.text) for r in rows} < set(pairs(kept[4]))
 
 
 def test_run_returns_the_mix(spark, small, monkeypatch):
     monkeypatch.setattr(cp, "STAGES", [("mixing", cp.mix_sources)])
     rows = cp.run(spark, small).collect()
-    docs = spark.read.parquet(f"{small}/documents.parquet").count()
-    assert len({(r.doc_id, r.copy) for r in rows}) == len(rows) and len({r.doc_id for r in rows}) < docs
-    for source in {r.source for r in rows}:
-        mine = [r for r in rows if r.source == source]
-        assert abs(sum(r.size for r in mine) - mine[0].target) <= max(3, 0.02 * mine[0].target)
-        assert all(1 <= r.copy <= r.copies for r in mine)
+    mixed_well(rows)
+    assert len({r.doc_id for r in rows}) < spark.read.parquet(f"{small}/documents.parquet").count()
+
+
+def test_shared_ids_in_a_class(spark, small):
+    rows = spark.createDataFrame([(3, "One two"), (3, "one TWO"), (None, "ONE two"), (4, "quite another text")], "doc_id bigint, text string")
+    got = cp.drop_near_copies(spark, rows, small).collect()
+    assert sorted(r.doc_id for r in got) == [3, 4]
+
+
+def test_empty_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
+    for name, stage in cp.STAGES:
+        docs = staged(stage(spark, docs, small), name)
+        assert docs.collect() == []
