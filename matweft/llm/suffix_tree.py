@@ -3,41 +3,49 @@
 The tree predicts the next token of a text (a lower-cased word, or the end) from the longest
 of its contexts that the tree retains. The root holds the discounted distribution of all
 training tokens, with the discounted mass for one unknown token. Longer contexts are runs of
-up to DEPTH frequent tokens, where every other word counts as the one symbol "rest": a
-context is a candidate if its share of the training tokens is at least P_MIN, which bounds
-the tree whatever the corpus (at most DEPTH / P_MIN contexts over 1 / P_MIN + 2 symbols),
-and is retained, with its suffixes, if its next-symbol distribution diverges from that of
-its longest proper suffix by more than chance. Retained distributions are smoothed towards
-those of their suffixes; inside "rest" words keep the proportions of the root.
-
-Word counts are unbounded. They go to the documents by segments: the documents of a segment
-bring along the words they have, and get the counts of those words only.
+up to DEPTH tokens, the end before a text's first word among them. A context is a candidate
+if it occurs at least LEAST_COUNT times in training, a number of occurrences and not a share,
+so the tree grows with the corpus. It is retained if its next tokens diverge from those of its
+longest proper suffix by more than chance. A retained distribution holds every token seen
+twice or more in the context; its other mass, and PRIOR, go to the distribution of its longest
+retained suffix.
+
+Neither words nor contexts are ever gathered in one place. Documents are dealt to segments, a
+bucketed table that every pass reads without a shuffle. A pass over the segments counts runs
+of one more token; the totals go back to the segments that have those runs, and to no others.
+Runs are told apart by 64-bit codes made of the XXH64 of their words.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import shared_dir, shuffle_partitions, staged
 
 DEPTH = 3
-#: Least share of all training tokens that a context, or a symbol of its own, may have.
-P_MIN = 1e-3
-BITS = 10
+#: Least number of times that a context must occur in training.
+LEAST_COUNT = 100
 #: Standard deviations by which a context's test must exceed what chance gives, and its
 #: least divergence in nats.
 LEAST_SIGMA, LEAST_DIVERGENCE = 4.0, 0.002
+#: A next token is a cell of its own in the test if it is expected once or seen so often;
+#: the others are one cell together.
+LEAST_SEEN = 5
 #: Weight of the suffix's distribution in a context's, in counts.
-PRIOR = 20.0
+PRIOR = 5.0
 SEGMENT_WORDS = 3_000_000
-#: Tokens counted or scored at once.
-COUNT_AT = 1 << 21
 
-END, REST = 0, 1
+#: The end is a word of no bytes, the first of every segment.
+END = b""
+SEED = 42  # of Spark's xxhash64
 
 
 def normal(text: bytes | None) -> list[bytes]:
@@ -46,220 +54,235 @@ def normal(text: bytes | None) -> list[bytes]:
 
 
 def gather(docs: DataFrame, held_out: Column) -> DataFrame:
-    """One pass over docs (doc_id, text), staged. Rows of two kinds: documents (segment,
-    doc_id, held_out, text) and words of a segment (segment, word, n in training documents)."""
+    """One pass over docs (doc_id, text), written in buckets of segments. Rows of three kinds:
+    documents (segment, doc_id, held_out, tokens: numbers of words in the segment), hashes of
+    the words of a segment (segment, hashes), and its words (segment, word, nth, n in training
+    documents)."""
+    spark = docs.sparkSession
     slim = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    parts = [("segment", pa.int64()), ("doc_id", None), ("held_out", pa.bool_()), ("text", pa.binary()), ("word", pa.binary()), ("n", pa.int64())]
+    parts = [("segment", pa.int64()), ("doc_id", None), ("held_out", pa.bool_()), ("tokens", pa.binary()), ("hashes", pa.binary()), ("word", pa.binary()), ("nth", pa.int32()), ("n", pa.int64())]
 
     def run(batches):
-        part, made, schema, seen, n = TaskContext.get().partitionId(), 0, None, {}, 0
+        part, made, schema, seen, n = TaskContext.get().partitionId(), 0, None, {END: 0}, 0
+        counts = [np.zeros(1, np.int64)]
 
         def rows(count, **have):
             return pa.RecordBatch.from_arrays([have.get(f.name, pa.nulls(count, f.type)) for f in schema], schema=schema)
 
-        def words_rows():
-            m = len(seen)
-            return rows(m, segment=pa.array(np.full(m, part << 32 | made)), word=pa.array(list(seen), pa.binary()), n=pa.array(list(seen.values()), pa.int64()))
+        def dictionary():
+            m, segment = len(seen), part << 32 | made
+            total = np.zeros(m, np.int64)
+            for c in counts:
+                total[: len(c)] += c
+            hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in seen], np.uint64)
+            yield rows(1, segment=pa.array([segment], pa.int64()), hashes=pa.array([hashes.tobytes()], pa.binary()))
+            yield rows(m, segment=pa.array(np.full(m, segment)), word=pa.array(list(seen), pa.binary()), nth=pa.array(np.arange(m, dtype=np.int32)), n=pa.array(total))
 
         for batch in batches:
             schema = pa.schema([(name, t or batch.column(0).type) for name, t in parts])
-            segments, texts = [], []
+            segments, tokens = [], []
             for out, text in zip(batch.column(2).to_pylist(), batch.column(1).cast(pa.binary())):
-                words = normal(text.as_py())
-                one = 0 if out else 1
-                for w in words:
-                    seen[w] = seen.get(w, 0) + one
-                texts.append(b" ".join(words))
+                got = np.array([seen.setdefault(w, len(seen)) for w in normal(text.as_py())], np.int32)
+                if not out:
+                    counts.append(np.bincount(got, minlength=1))
+                    counts[-1][0] = 1  # its end
+                tokens.append(got.tobytes())
                 segments.append(part << 32 | made)
-                n += len(words)
+                n += len(got) + 1
+                if len(counts) >= 64:
+                    total = np.zeros(len(seen), np.int64)
+                    for c in counts:
+                        total[: len(c)] += c
+                    counts = [total]
                 if n >= SEGMENT_WORDS:
-                    yield words_rows()
-                    made, n, seen = made + 1, 0, {}
-            yield rows(len(texts), segment=pa.array(segments, pa.int64()), doc_id=batch.column(0), held_out=batch.column(2), text=pa.array(texts, pa.binary()))
-        if seen:
-            yield words_rows()
-
-    return staged(slim.mapInArrow(run, f"segment long, doc_id {kind}, held_out boolean, text binary, word binary, n long"), "lm_gathered")
-
-
-def contexts(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Code of the DEPTH symbols before each place, the latest lowest; ends stand before a text."""
-    code = np.zeros(len(symbols), np.int64)
-    place = np.arange(len(symbols)) - np.repeat(starts, np.diff(np.append(starts, len(symbols))))
-    for back in range(1, DEPTH + 1):
-        before = np.zeros_like(symbols)
-        before[back:] = symbols[:-back]
-        before[place < back] = END
-        code |= before << (BITS * (back - 1))
-    return code
-
-
-def _starts(lengths: list[int]) -> np.ndarray:
-    return np.cumsum(lengths) - np.array(lengths, np.int64)
-
-
-def count_runs(texts: DataFrame, symbol: dict[bytes, int]) -> DataFrame:
-    """Rows (code, n): counts of DEPTH + 1 successive symbols over rows (text)."""
-
-    def run(batches):
-        codes, counts, waiting, lengths, n = [], [], [], [], 0
+                    yield from dictionary()
+                    made, n, seen, counts = made + 1, 0, {END: 0}, [np.zeros(1, np.int64)]
+            yield rows(len(tokens), segment=pa.array(segments, pa.int64()), doc_id=batch.column(0), held_out=batch.column(2), tokens=pa.array(tokens, pa.binary()))
+        if n:
+            yield from dictionary()
+
+    rows = slim.mapInArrow(run, f"segment long, doc_id {kind}, held_out boolean, tokens binary, hashes binary, word binary, nth int, n long")
+    table = f"matweft_lm_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(shuffle_partitions(spark), "segment").saveAsTable(table)
+    read = spark.table(table)
+    read.schema  # resolved: the files stay when the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return read
+
+
+def extend(code: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Codes of runs that are one token longer."""
+    x = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ hashes.view(np.uint64)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray, missing: int) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(want), missing, np.int64)
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return np.where(keys[at] == want, values[at], missing)
+
+
+class Segment:
+    """The tokens of a segment's documents in a row, an end before and after each document.
+
+    side: what is known of them, rows (kind, key, value): counts of words by number (kind 0)
+    and of runs of d + 1 tokens by code (kind d), the mass that retained contexts of d tokens
+    hold themselves (kind -d).
+    At each place of at[d] a context of d tokens that is a candidate ends just before it;
+    codes[d] and counts[d] are those of that context and the token there.
+    """
 
-        def flush():
-            symbols = np.concatenate(waiting)
-            code, count = np.unique(contexts(symbols, _starts(lengths)) << BITS | symbols, return_counts=True)
-            codes.append(code)
-            counts.append(count)
+    def __init__(self, left: pa.Table, side: pa.Table, depth: int, least: int):
+        hashes = [np.frombuffer(x, np.int64) for x in left.column("hashes").drop_null().to_pylist()]
+        self.docs = left.filter(left.column("tokens").is_valid())
+        texts = [np.frombuffer(x, np.int32) for x in self.docs.column("tokens").to_pylist()]
+        lengths = np.array([len(t) for t in texts], np.int64) + 2
+        self.starts = np.cumsum(lengths) - lengths
+        tokens = np.zeros(lengths.sum(), np.int32)
+        for start, text in zip(self.starts, texts):
+            tokens[start + 1 : start + 1 + len(text)] = text
+        self.offset = np.arange(len(tokens)) - np.repeat(self.starts, lengths)
+        self.learned = np.repeat(~self.docs.column("held_out").to_numpy(zero_copy_only=False).astype(bool), lengths)
+        self.hashes = hashes[0][tokens]
+        kinds, keys, values = (side.column(c).to_numpy() for c in ("kind", "key", "value"))
+        self.side = {int(k): (keys[kinds == k], values[kinds == k]) for k in np.unique(kinds)}
+        of_word = np.zeros(len(hashes[0]), np.int64)
+        nth, n = self.known(0)
+        of_word[nth] = n
+        self.codes, self.counts = [self.hashes], [of_word[tokens]]
+        self.at = [np.flatnonzero(self.offset > 0)]
+        for d in range(1, depth + 1):
+            at = self.at[-1]
+            at = at[self.offset[at] >= d]
+            at = at[self.counts[-1][at - 1] >= least]
+            code, count = np.zeros_like(self.hashes), np.zeros_like(self.hashes)
+            code[at] = extend(self.codes[-1][at - 1], self.hashes[at])
+            count[at] = look_up(*self.known(d), code[at], 0)
+            self.at.append(at)
+            self.codes.append(code)
+            self.counts.append(count)
+
+    def known(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.side.get(kind, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
+def _beside(rows: DataFrame, kind: int, key: str, value: str) -> DataFrame:
+    return rows.select(F.col("segment").alias("seg"), F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"), F.col(value).cast("long").alias("value"))
+
+
+def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least: int) -> DataFrame:
+    """Rows (segment, code, total, ctx, n_ctx, expected): the runs of a candidate context of depth
+    tokens and one more that a segment has, with their number in all training documents. One
+    row of each code also has its context, the context's number and the number of such runs
+    that the suffix of the context makes expected (0 for tokens rarer than least at the root)."""
 
-        for batch in batches:
-            for text in batch.column(0):
-                words = text.as_py().split()
-                got = np.zeros(len(words) + 1, np.int64)
-                got[:-1] = [symbol.get(w, REST) for w in words]
-                waiting.append(got)
-                lengths.append(len(got))
-                n += len(got)
-                if n >= COUNT_AT:
-                    flush()
-                    waiting, lengths, n = [], [], 0
-        if waiting:
-            flush()
-        if codes:
-            code, where = np.unique(np.concatenate(codes), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.bincount(where, np.concatenate(counts)).astype(np.int64))], names=["code", "n"])
-
-    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-class Tree:
-    """states[d - 1] are the sorted codes of the retained contexts of d symbols; log_p has
-    log10 P(symbol) of each state, the root first, then depth by depth."""
-
-    def __init__(self, states: list[np.ndarray], log_p: np.ndarray):
-        self.states, self.log_p = states, log_p
-
-    def state_of(self, code: np.ndarray) -> np.ndarray:
-        """The state of the longest retained suffix of each code."""
-        state, at, open_ = np.zeros(len(code), np.int64), 1, np.arange(len(code))
-        for d, codes in enumerate(self.states, 1):
-            if not len(codes):
-                break
-            want = code[open_] & ((1 << BITS * d) - 1)
-            place = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
-            hit = codes[place] == want
-            open_ = open_[hit]  # retained contexts have retained suffixes
-            state[open_] = at + place[hit]
-            at += len(codes)
-        return state
-
-
-def grow(counts: DataFrame, root: np.ndarray) -> Tree:
-    """The tree from rows (code, n) and the distribution of symbols at the root."""
-    size = len(root)
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels = F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("code", BITS).bitwiseAND(F.lit((1 << BITS * d) - 1)).alias("ctx")) for d in range(1, DEPTH + 1)])
-    runs = counts.select(F.explode(levels).alias("c"), F.col("code").bitwiseAND(F.lit((1 << BITS) - 1)).alias("sym"), "n")
-    runs = runs.groupBy("c.d", "c.ctx", "sym").agg(F.sum("n").alias("n"))
-    nodes = runs.groupBy("d", "ctx").agg(F.collect_list("sym").alias("syms"), F.collect_list("n").alias("ns"), F.sum("n").alias("n"))
-    # at most 1 / P_MIN contexts a depth reach the driver
-    nodes = nodes.where((F.col("n") >= P_MIN * total) & (F.col("n") > 0)).orderBy("d", "ctx").collect()
-    raw = {0: (np.zeros(1, np.int64), root[None] * max(total, 1))}
-    for d in range(1, DEPTH + 1):
-        mine = [r for r in nodes if r.d == d]
-        m = np.zeros((len(mine), size))
-        for k, r in enumerate(mine):
-            m[k, r.syms] = r.ns
-        raw[d] = (np.array([r.ctx for r in mine], np.int64), m)
-    good = {}
-    for d in range(1, DEPTH + 1):
-        codes, m = raw[d]
-        up = np.searchsorted(raw[d - 1][0], codes & ((1 << BITS * (d - 1)) - 1))
-        n, parent = m.sum(1), raw[d - 1][1][up] + 0.5
-        p, q = m / np.maximum(n, 1)[:, None], parent / parent.sum(1, keepdims=True)
-        divergence = np.where(p > 0, p * np.log(np.maximum(p, 1e-300) / q), 0).sum(1)
-        free = np.maximum((m > 0).sum(1) - 1, 1)  # by chance the test is about this, give or take sqrt(2 free)
-        good[d] = (divergence >= LEAST_DIVERGENCE) & (2 * n * divergence >= free + LEAST_SIGMA * np.sqrt(2 * free))
-    for d in range(DEPTH, 1, -1):
-        good[d - 1] |= np.isin(raw[d - 1][0], raw[d][0][good[d]] & ((1 << BITS * (d - 1)) - 1))
-    smooth, codes = root[None], np.zeros(1, np.int64)
-    states, log_p = [], [root[None]]
-    for d in range(1, DEPTH + 1):
-        mine, m = raw[d][0][good[d]], raw[d][1][good[d]]
-        up = np.searchsorted(codes, mine & ((1 << BITS * (d - 1)) - 1))
-        smooth = (m + PRIOR * smooth[up]) / (m.sum(1, keepdims=True) + PRIOR)
-        codes = mine
-        states.append(mine)
-        log_p.append(smooth)
-    return Tree(states, np.log10(np.maximum(np.concatenate(log_p), 1e-300)))
-
-
-def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one per row
-    of docs (doc_id, text).
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        s = Segment(left, right, depth, least)
+        at = s.at[depth]
+        code, first, which = np.unique(s.codes[depth][at], return_index=True, return_inverse=True)
+        n = np.bincount(which, s.learned[at], minlength=len(code)).astype(np.int64)
+        place = at[first]
+        n_ctx = s.counts[depth - 1][place - 1]
+        share = s.counts[depth - 1][place] / (train if depth == 1 else s.counts[depth - 2][place - 1])
+        if depth == 1:
+            share[s.counts[0][place] < least] = 0
+        ctx = s.codes[depth - 1][place - 1]
+        order = np.argsort(ctx, kind="stable")
+        segment = np.full(len(code), left.column("segment")[0].as_py())
+        columns = [pa.array(x[order]) for x in (segment, code, n, ctx, n_ctx, (n_ctx * share).astype(np.float32))]
+        return pa.table(columns, names=["segment", "code", "n", "ctx", "n_ctx", "expected"])
+
+    counted = texts.groupBy("segment").cogroup(side.groupBy("seg")).applyInArrow(run, "segment long, code long, n long, ctx long, n_ctx long, expected float")
+    # a code has at most one row a segment, so none is hot, and the window spills
+    of_code = W.partitionBy("code")
+    one = F.col("segment") == F.min("segment").over(of_code)
+    counted = counted.withColumn("total", F.sum("n").over(of_code)).withColumn("one", one)
+    told = [F.when(F.col("one"), F.col(c)).alias(c) for c in ("ctx", "n_ctx", "expected")]
+    return staged(counted.where("total >= 2 or (one and total > 0)").select("segment", "code", "total", *told), f"lm_runs{depth}")
+
+
+def retained(runs: DataFrame) -> DataFrame:
+    """Rows (ctx, held): contexts whose next tokens diverge from their suffix's by more than chance
+    and the number of their next tokens that were seen twice or more."""
+    cell = (F.col("expected") > 0) & ((F.col("expected") >= 1) | (F.col("total") >= LEAST_SEEN))
+    of = lambda x: F.coalesce(F.sum(F.when(cell, x)), F.lit(0.0))
+    seen, expected = F.col("total").cast("double"), F.col("expected").cast("double")
+    stats = runs.where("ctx is not null").groupBy("ctx").agg(
+        F.max("n_ctx").alias("n"),
+        F.coalesce(F.sum(F.when(F.col("total") >= 2, F.col("total"))), F.lit(0)).alias("held"),
+        of(seen * F.log(seen / expected)).alias("g"),
+        of(seen).alias("seen"),
+        of(expected).alias("expected"),
+        F.sum(cell.cast("long")).alias("free"),
+    )
+    rest = F.greatest(F.col("n") - F.col("seen"), F.lit(0.0))
+    g = F.col("g") + F.when(rest > 0, rest * F.log(rest / F.greatest(F.col("n") - F.col("expected"), F.lit(0.5)))).otherwise(0.0)
+    chance = F.col("free") + LEAST_SIGMA * F.sqrt(2.0 * F.col("free"))
+    return stats.where((F.col("free") > 0) & (2 * g >= chance) & (g >= LEAST_DIVERGENCE * F.col("n"))).select("ctx", "held")
+
+
+def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LEAST_COUNT) -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, n_in_context, train_tokens, base_score, score),
+    one per row of docs (doc_id, text).
 
     held_out: condition on doc_id of rows that are not learned from (null: learned from).
     Tokens are the lower-cased words and one end. base_score is the add-one unigram log10
     probability of the tokens, score that of the tree; in both an unknown word is one
-    unknown token. Null and empty texts have the end only. Repeated rows are separate
-    documents. Other columns are ignored. Without training documents both scores are 0.
+    unknown token. n_in_context counts the tokens that are predicted by a context longer than
+    none. Null and empty texts have the end only. Repeated rows are separate documents. Other
+    columns are ignored. Without training documents both scores are 0.
     """
-    spark = docs.sparkSession
     rows = gather(docs, held_out)
-    words = rows.where("word is not null").select("segment", "word", "n")
+    words = rows.where("word is not null").select("segment", "word", "nth", "n")
     # summed over the segments first, so a frequent word is one row a segment, not a hot key
     totals = staged(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm_words")
-    one = lambda k: F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0))
-    got = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("c").alias("v"), one(1).alias("n1"), one(2).alias("n2")).first()
-    texts = rows.where("text is not null").select("segment", "doc_id", "held_out", "text")
-    ends = texts.where("not held_out").count()
-    train, distinct = got.n + ends, got.v + (ends > 0)
+    number = lambda k: F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0))
+    got = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("c").alias("v"), number(1).alias("n1"), number(2).alias("n2")).first()
+    train, distinct = got.n, got.v
     discount = (got.n1 + 0.5) / (got.n1 + 2 * got.n2 + 1)
     unknown = discount * distinct / train if train else 1.0
 
-    frequent = totals.where(F.col("c") >= max(1, P_MIN * train)).orderBy("word").collect()  # at most 1 / P_MIN
-    symbol = {bytes(r.word): k for k, r in enumerate(frequent, 2)}
-    root = np.array([max(ends - discount, 0), 0, *(r.c - discount for r in frequent)]) / max(train, 1)
-    root[REST] = max(1 - root.sum(), 1e-12)
-    counts = staged(count_runs(texts.where("not held_out").select("text"), symbol), "lm_runs")
-    model = spark.sparkContext.broadcast((symbol, grow(counts, root)))
-    log_rest = float(np.log10(root[REST]))
-    known = words.select(F.col("segment").alias("seg"), "word").join(totals, "word").select("seg", "word", "c")
+    frequent = F.when(F.col("c") >= least, F.xxhash64("word")).alias("h")
+    known = staged(words.select("segment", "word", "nth").join(totals, "word").select("segment", "nth", "c", frequent), "lm_known")
+    texts = rows.where("tokens is not null or hashes is not null").select("segment", "doc_id", "held_out", "tokens", "hashes")
+    side = _beside(known.where("h is not null"), 0, "nth", "c")
+    beside = _beside(known, 0, "nth", "c")
+    ending = known.where("h is not null").select("segment", F.col("h").alias("ctx"))  # contexts a segment has
+    for d in range(1, depth + 1):
+        runs = count_runs(texts, side, d, train, least)
+        kept = ending.join(retained(runs), "ctx")
+        totals_of = _beside(runs.where("total >= 2"), d, "code", "total")
+        beside = beside.unionByName(totals_of).unionByName(_beside(kept, -d, "ctx", "held"))
+        side = side.unionByName(totals_of)
+        ending = runs.where(F.col("total") >= least).select("segment", F.col("code").alias("ctx"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "n_in_context", "base_score", "score"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        symbol, tree = model.value
-        names_of = right.column("word").to_pylist()
-        index = {w: k for k, w in enumerate(names_of, 2)}
-        c = np.concatenate([[ends, 0], right.column("c").to_numpy()]).astype(float)  # end, unknown, words
-        sym = np.array([END if ends else REST, REST, *(symbol.get(w, REST) for w in names_of)], np.int64)
-        gain = np.log10(c + 1) - np.log10(train + distinct + 1)
-        own = np.log10(np.maximum(np.where(c > 0, c - discount, unknown * max(train, 1)), 1e-300) / max(train, 1)) - log_rest
-        own[sym != REST] = 0  # their chance is the state's; else the state's for rest, and the word's share of it
-        made, waiting, n = [], [], 0
-
-        def flush():
-            lengths = [len(w) for w in waiting]
-            starts, tokens = _starts(lengths), np.concatenate(waiting)
-            symbols = sym[tokens]
-            state = tree.state_of(contexts(symbols, starts))
-            each = tree.log_p[state, symbols] + own[tokens]
-            made.append((np.array(lengths), np.add.reduceat((c[tokens] > 0).astype(np.int64), starts), np.add.reduceat(gain[tokens], starts), np.add.reduceat(each, starts)))
-
-        for text in left.column("text"):
-            words = text.as_py().split()
-            got = np.zeros(len(words) + 1, np.int64)
-            got[:-1] = [index.get(w, 1) for w in words]
-            waiting.append(got)
-            n += len(got)
-            if n >= COUNT_AT:
-                flush()
-                waiting, n = [], 0
-        if waiting:
-            flush()
-        columns = [np.concatenate(x) for x in zip(*made)] if made else [np.zeros(0)] * 4
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([left.column("doc_id"), left.column("held_out"), *(pa.array(x, t) for x, t in zip(columns, kinds))], names=names)
-
-    scored = texts.groupBy("segment").cogroup(known.groupBy("seg")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train)).cast("long").alias("train_tokens"), "base_score", "score")
+        s = Segment(left, right, depth, least)
+        c = s.counts[0]
+        p = np.where(c > 0, (c - discount) / max(train, 1), unknown)
+        inside = np.zeros(len(c), np.int64)
+        for d in range(1, depth + 1):
+            at = s.at[d]
+            held = look_up(*s.known(-d), s.codes[d - 1][at - 1], -1)
+            at, held = at[held >= 0], held[held >= 0]
+            n_ctx = s.counts[d - 1][at - 1]
+            p[at] = (s.counts[d][at] + (n_ctx - held + PRIOR) * p[at]) / (n_ctx + PRIOR)
+            inside[at] = 1
+        token = s.offset > 0
+        summed = lambda x: np.add.reduceat(np.where(token, x, 0), s.starts) if len(s.starts) else np.zeros(0, x.dtype)
+        base = np.log10(c + 1) - np.log10(train + distinct + 1)
+        columns = [summed(token.astype(np.int64)), summed((c > 0).astype(np.int64)), summed(inside), summed(base), summed(np.log10(p))]
+        return pa.table([s.docs.column("doc_id"), s.docs.column("held_out"), *(pa.array(x) for x in columns)], names=names)
+
+    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, n_in_context long, base_score double, score double"
+    scored = texts.groupBy("segment").cogroup(beside.groupBy("seg")).applyInArrow(run, result)
+    return scored.select(*names[:5], F.lit(int(train)).cast("long").alias("train_tokens"), "base_score", "score")
