@@ -43,6 +43,31 @@ def test_targets_and_taken(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mix(docs(spark, rows)).collect()))
 
 
+def test_inclusion_and_size(spark):
+    sizes = [1, 2, 4, 9, 20, 50]
+    rows = [(i, " ".join(["w"] * sizes[i % 6]), "s" if i // 6 % 3 else "t") for i in range(9000)]
+    rows += [(None, "a b c", "s")] * 3000
+    for seed in (1, 2):
+        got = mix(docs(spark, rows), seed=seed, fixes=0).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.source, []).append(r)
+        for mine in by.values():
+            words = sum(r.size for r in mine)
+            f = mine[0].target / words
+            mean = sum(r.size * math.log2(r.size + 1) for r in mine) / words
+            reach = max(abs(math.log2(r.size + 1) - mean) for r in mine)
+            want = {n: f + 0.5 * min(f, 2 - f) / reach * (mean - math.log2(n + 1)) for n in {r.size for r in mine}}
+            assert math.isclose(sum(want[r.size] * r.size for r in mine), mine[0].target, rel_tol=1e-5)
+            for n in want:
+                these = [r.copies for r in mine if r.size == n]
+                assert set(these) <= {math.floor(want[n]), math.ceil(want[n])}
+                assert abs(sum(these) / len(these) - want[n]) < 0.05, (n, want[n])
+            assert len({round(w, 6) for w in want.values()}) == len(want)
+            # the number of copies is fixed, whichever documents the hash picks
+            assert abs(sum(r.copies for r in mine) - sum(want[r.size] for r in mine)) <= 1 + 1e-6
+
+
 def test_edges(spark):
     assert mix(docs(spark, [(1, "x", "s")]).limit(0)).collect() == []
     got = mix(docs(spark, [(1, None, None), (2, "", "s"), (2, "", "s"), (None, "a b", "t"), (None, "a b", "t")])).collect()
