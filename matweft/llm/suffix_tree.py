@@ -241,26 +241,29 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least
     """
     rows = gather(docs, held_out)
     words = rows.where("word is not null").select("segment", "word", "nth", "n")
-    # summed over the segments first, so a frequent word is one row a segment, not a hot key
-    totals = staged(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm_words")
+    # a word has at most one row a segment, so none is hot, and the window spills
+    of_word = W.partitionBy("word")
+    told = words.withColumn("c", F.sum("n").over(of_word)).withColumn("one", F.col("segment") == F.min("segment").over(of_word))
+    frequent = F.when(F.col("c") >= least, F.xxhash64("word")).alias("h")
+    known = staged(told.where("c > 0").select("segment", "nth", "c", frequent, "one"), "lm_known")
     number = lambda k: F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0))
-    got = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("c").alias("v"), number(1).alias("n1"), number(2).alias("n2")).first()
+    got = known.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("c").alias("v"), number(1).alias("n1"), number(2).alias("n2")).first()
     train, distinct = got.n, got.v
     discount = (got.n1 + 0.5) / (got.n1 + 2 * got.n2 + 1)
     unknown = discount * distinct / train if train else 1.0
 
-    frequent = F.when(F.col("c") >= least, F.xxhash64("word")).alias("h")
-    known = staged(words.select("segment", "word", "nth").join(totals, "word").select("segment", "nth", "c", frequent), "lm_known")
     texts = rows.where("tokens is not null or hashes is not null").select("segment", "doc_id", "held_out", "tokens", "hashes")
-    side = _beside(known.where("h is not null"), 0, "nth", "c")
+    contexts = side = _beside(known.where("h is not null"), 0, "nth", "c")
     beside = _beside(known, 0, "nth", "c")
     ending = known.where("h is not null").select("segment", F.col("h").alias("ctx"))  # contexts a segment has
     for d in range(1, depth + 1):
         runs = count_runs(texts, side, d, train, least)
         kept = ending.join(retained(runs), "ctx")
-        totals_of = _beside(runs.where("total >= 2"), d, "code", "total")
-        beside = beside.unionByName(totals_of).unionByName(_beside(kept, -d, "ctx", "held"))
-        side = side.unionByName(totals_of)
+        totals = _beside(runs.where("total >= 2"), d, "code", "total")
+        beside = beside.unionByName(totals).unionByName(_beside(kept, -d, "ctx", "held"))
+        # shorter runs than those just counted are needed as contexts only
+        side = contexts.unionByName(totals)
+        contexts = contexts.unionByName(totals.where(F.col("value") >= least))
         ending = runs.where(F.col("total") >= least).select("segment", F.col("code").alias("ctx"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "n_in_context", "base_score", "score"]
