@@ -181,22 +181,26 @@ def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least:
     """Rows (segment, code, total, ctx, n_ctx, expected): the runs of a candidate context of depth
     tokens and one more that a segment has, with their number in all training documents. One
     row of each code also has its context, the context's number and the number of such runs
-    that the suffix of the context makes expected (0 for tokens rarer than least at the root)."""
+    that the suffix of the context makes expected (0 for tokens rarer than least at the root).
+    Longer runs that can neither be seen twice nor be a cell of the test are not sent."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         s = Segment(left, right, depth, least)
         at = s.at[depth]
+        n_ctx, n_run = s.counts[depth - 1][at - 1], s.counts[depth - 1][at]
+        share = n_run / (train if depth == 1 else s.counts[depth - 2][at - 1])
+        if depth == 1:
+            share[n_run < least] = 0
+        expected = (n_ctx * share).astype(np.float32)
+        if depth > 1:  # a run is as rare as the run without its first token: others are no cell, nor seen twice
+            use = (n_run >= 2) | (expected >= 1)
+            at, n_ctx, expected = at[use], n_ctx[use], expected[use]
         code, first, which = np.unique(s.codes[depth][at], return_index=True, return_inverse=True)
         n = np.bincount(which, s.learned[at], minlength=len(code)).astype(np.int64)
-        place = at[first]
-        n_ctx = s.counts[depth - 1][place - 1]
-        share = s.counts[depth - 1][place] / (train if depth == 1 else s.counts[depth - 2][place - 1])
-        if depth == 1:
-            share[s.counts[0][place] < least] = 0
-        ctx = s.codes[depth - 1][place - 1]
+        ctx, n_ctx, expected = s.codes[depth - 1][at[first] - 1], n_ctx[first], expected[first]
         order = np.argsort(ctx, kind="stable")
         segment = np.full(len(code), left.column("segment")[0].as_py())
-        columns = [pa.array(x[order]) for x in (segment, code, n, ctx, n_ctx, (n_ctx * share).astype(np.float32))]
+        columns = [pa.array(x[order]) for x in (segment, code, n, ctx, n_ctx, expected)]
         return pa.table(columns, names=["segment", "code", "n", "ctx", "n_ctx", "expected"])
 
     counted = texts.groupBy("segment").cogroup(side.groupBy("seg")).applyInArrow(run, "segment long, code long, n long, ctx long, n_ctx long, expected float")
