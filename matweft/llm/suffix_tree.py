@@ -13,7 +13,8 @@ retained suffix.
 Neither words nor contexts are ever gathered in one place. Documents are dealt to segments, a
 bucketed table that every pass reads without a shuffle. A pass over the segments counts runs
 of one more token; the totals go back to the segments that have those runs, and to no others.
-Runs are told apart by 64-bit codes made of the XXH64 of their words.
+Runs are told apart by 64-bit codes made of the XXH64 of their words. Codes are uniform, so
+ranges of them are even buckets, dealt so that a bucket has a bounded number of runs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -42,6 +44,8 @@ LEAST_SEEN = 5
 #: Weight of the suffix's distribution in a context's, in counts.
 PRIOR = 5.0
 SEGMENT_WORDS = 3_000_000
+#: Greatest number of runs that a bucket has on average.
+BUCKET_RUNS = 2_000_000
 
 #: The end is a word of no bytes, the first of every segment.
 END = b""
@@ -120,6 +124,17 @@ def extend(code: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The bytes of numbers by place value, which compress where the numbers are small."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unpacked(cells: pa.ChunkedArray, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    parts = [np.frombuffer(c, np.uint8).reshape(width, -1).T.copy().view(dtype).ravel() for c in cells.to_pylist()]
+    return np.concatenate([np.zeros(0, dtype), *parts])
+
+
 def look_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray, missing: int) -> np.ndarray:
     if not len(keys):
         return np.full(len(want), missing, np.int64)
@@ -134,7 +149,7 @@ class Segment:
 
     side: what is known of them, rows (kind, key, value): counts of words by number (kind 0)
     and of runs of d + 1 tokens by code (kind d), the mass that retained contexts of d tokens
-    hold themselves (kind -d).
+    hold themselves (kind -d). Rows of runs may hold many, packed in keys and values.
     At each place of at[d] a context of d tokens that is a candidate ends just before it;
     codes[d] and counts[d] are those of that context and the token there.
     """
@@ -151,8 +166,11 @@ class Segment:
         self.offset = np.arange(len(tokens)) - np.repeat(self.starts, lengths)
         self.learned = np.repeat(~self.docs.column("held_out").to_numpy(zero_copy_only=False).astype(bool), lengths)
         self.hashes = hashes[0][tokens]
-        kinds, keys, values = (side.column(c).to_numpy() for c in ("kind", "key", "value"))
-        self.side = {int(k): (keys[kinds == k], values[kinds == k]) for k in np.unique(kinds)}
+        self.side = {}
+        for k in pc.unique(side.column("kind")).to_pylist():
+            rows = side.filter(pc.equal(side.column("kind"), k))
+            many, one = rows.filter(rows.column("keys").is_valid()), rows.filter(rows.column("keys").is_null())
+            self.side[k] = tuple(np.concatenate([one.column(c).to_numpy(), unpacked(many.column(f"{c}s"), np.int64)]) for c in ("key", "value"))
         of_word = np.zeros(len(hashes[0]), np.int64)
         nth, n = self.known(0)
         of_word[nth] = n
@@ -174,23 +192,31 @@ class Segment:
 
 
 def _beside(rows: DataFrame, kind: int, key: str, value: str) -> DataFrame:
-    return rows.select(F.col("segment").alias("seg"), F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"), F.col(value).cast("long").alias("value"))
+    number = lambda c: F.col(c).cast("long")
+    none = F.lit(None).cast("binary")
+    return rows.select(F.col("segment").alias("seg"), F.lit(kind).alias("kind"), number(key).alias("key"), number(value).alias("value"), none.alias("keys"), none.alias("values"))
 
 
-def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least: int) -> DataFrame:
-    """Rows (segment, code, total, ctx, n_ctx, expected): the runs of a candidate context of depth
-    tokens and one more that a segment has, with their number in all training documents. One
-    row of each code also has its context, the context's number and the number of such runs
-    that the suffix of the context makes expected (0 for tokens rarer than least at the root).
-    Longer runs that can neither be seen twice nor be a cell of the test are not sent."""
+_RUNS = {"code": np.int64, "n": np.int64, "ctx": np.int64, "length": np.int32, "n_ctx": np.int64, "expected": np.float32}
+_STATS = ("n", "held", "g", "seen", "expected", "free")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+
+def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least: int, buckets: int) -> DataFrame:
+    """The runs of a candidate context of depth tokens and one more, totalled over all segments.
+
+    Rows (segment, codes, totals) have runs of a segment that were seen twice or more in
+    training, packed. Rows (segment, code, total) repeat those of least times or more. Rows
+    (ctx, n, held, g, seen, expected, free) have, without a segment, sums over a part of the
+    next tokens of a context: see retained. Longer runs that can neither be seen twice nor be
+    a cell of the test are not sent."""
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
         s = Segment(left, right, depth, least)
         at = s.at[depth]
         n_ctx, n_run = s.counts[depth - 1][at - 1], s.counts[depth - 1][at]
         share = n_run / (train if depth == 1 else s.counts[depth - 2][at - 1])
         if depth == 1:
-            share[n_run < least] = 0
+            share[n_run < least] = 0  # tokens rarer than least are no cells after the root
         expected = (n_ctx * share).astype(np.float32)
         if depth > 1:  # a run is as rare as the run without its first token: others are no cell, nor seen twice
             use = (n_run >= 2) | (expected >= 1)
@@ -198,34 +224,62 @@ def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least:
         code, first, which = np.unique(s.codes[depth][at], return_index=True, return_inverse=True)
         n = np.bincount(which, s.learned[at], minlength=len(code)).astype(np.int64)
         ctx, n_ctx, expected = s.codes[depth - 1][at[first] - 1], n_ctx[first], expected[first]
-        order = np.argsort(ctx, kind="stable")
-        segment = np.full(len(code), left.column("segment")[0].as_py())
-        columns = [pa.array(x[order]) for x in (segment, code, n, ctx, n_ctx, expected)]
-        return pa.table(columns, names=["segment", "code", "n", "ctx", "n_ctx", "expected"])
-
-    counted = texts.groupBy("segment").cogroup(side.groupBy("seg")).applyInArrow(run, "segment long, code long, n long, ctx long, n_ctx long, expected float")
-    # a code has at most one row a segment, so none is hot, and the window spills
-    of_code = W.partitionBy("code")
-    one = F.col("segment") == F.min("segment").over(of_code)
-    counted = counted.withColumn("total", F.sum("n").over(of_code)).withColumn("one", one)
-    told = [F.when(F.col("one"), F.col(c)).alias(c) for c in ("ctx", "n_ctx", "expected")]
-    return staged(counted.where("total >= 2 or (one and total > 0)").select("segment", "code", "total", *told), f"lm_runs{depth}")
+        bucket = ((code.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        rows = []
+        order = np.lexsort((ctx, bucket))
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+            starts = np.flatnonzero(np.append(True, np.diff(ctx[part]) != 0))
+            length = np.diff(np.append(starts, len(part))).astype(np.int32)
+            columns = (code[part], n[part], ctx[part][starts], length, n_ctx[part][starts], expected[part])
+            rows.append({"bucket": int(bucket[part[0]]), **{c: packed(x) for c, x in zip(_RUNS, columns)}})
+        schema = pa.schema([("segment", pa.int64()), ("bucket", pa.int64()), *((c, pa.binary()) for c in _RUNS)])
+        segment = left.column("segment")[0].as_py()
+        return pa.Table.from_pylist([{"segment": segment, **r} for r in rows], schema)
+
+    def total(table: pa.Table) -> pa.Table:
+        code, n, ctx, length, n_ctx, expected = (unpacked(table.column(c), t) for c, t in _RUNS.items())
+        row = np.repeat(np.arange(len(table)), [len(c) // 8 for c in table.column("code").to_pylist()])
+        ctx, n_ctx = np.repeat(ctx, length), np.repeat(n_ctx, length)
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
+        totals = np.add.reduceat(n[order], starts)
+        # one row of each run is for the sums over contexts
+        one = order[starts][totals > 0]
+        one, seen = one[np.argsort(ctx[one], kind="stable")], totals[totals > 0][np.argsort(ctx[one], kind="stable")]
+        mean = expected[one].astype(np.float64)
+        cell = (mean > 0) & ((mean >= 1) | (seen >= LEAST_SEEN))
+        g = np.where(cell, seen * np.log(seen / np.where(cell, mean, 1)), 0.0)
+        ends = np.flatnonzero(np.append(True, np.diff(ctx[one]) != 0)) if len(one) else np.zeros(0, np.int64)
+        add = lambda x: np.add.reduceat(x, ends) if len(ends) else np.zeros(0, x.dtype)
+        sums = (n_ctx[one][ends], add(np.where(seen >= 2, seen, 0)), add(g), add(np.where(cell, seen, 0.0)), add(np.where(cell, mean, 0.0)), add(cell.astype(np.int64)))
+        out = [pa.table({"ctx": ctx[one][ends], **dict(zip(_STATS, sums))})]
+        # the rest goes back to the segments, by code
+        totals = np.repeat(totals, np.diff(np.append(starts, len(code))))
+        order, totals = order[totals >= 2], totals[totals >= 2]
+        by_row = np.argsort(row[order], kind="stable")
+        order, totals = order[by_row], totals[by_row]
+        segments = table.column("segment").to_numpy()
+        often = totals >= least
+        out.append(pa.table({"segment": segments[row[order[often]]], "code": code[order[often]], "total": totals[often]}))
+        cuts = np.flatnonzero(np.diff(row[order])) + 1
+        for codes, counts, at in zip(np.split(code[order], cuts), np.split(totals, cuts), np.split(order, cuts)):
+            if len(at):
+                out.append(pa.table({"segment": segments[row[at[:1]]], "codes": pa.array([packed(codes)], pa.binary()), "totals": pa.array([packed(counts)], pa.binary())}))
+        return pa.concat_tables([schema.empty_table(), *out], promote_options="default").select(schema.names).cast(schema)
+
+    long = ("segment", "code", "total", "ctx", "n", "held", "free")
+    schema = pa.schema([*((c, pa.int64()) for c in long), *((c, pa.float64()) for c in ("g", "seen", "expected")), ("codes", pa.binary()), ("totals", pa.binary())])
+    kinds = {pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary"}
+    sent = texts.groupBy("segment").cogroup(side.groupBy("seg")).applyInArrow(send, ", ".join(["segment long", "bucket long", *(f"{c} binary" for c in _RUNS)]))
+    return staged(sent.groupBy("bucket").applyInArrow(total, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)), f"lm_runs{depth}")
 
 
 def retained(runs: DataFrame) -> DataFrame:
     """Rows (ctx, held): contexts whose next tokens diverge from their suffix's by more than chance
-    and the number of their next tokens that were seen twice or more."""
-    cell = (F.col("expected") > 0) & ((F.col("expected") >= 1) | (F.col("total") >= LEAST_SEEN))
-    of = lambda x: F.coalesce(F.sum(F.when(cell, x)), F.lit(0.0))
-    seen, expected = F.col("total").cast("double"), F.col("expected").cast("double")
-    stats = runs.where("ctx is not null").groupBy("ctx").agg(
-        F.max("n_ctx").alias("n"),
-        F.coalesce(F.sum(F.when(F.col("total") >= 2, F.col("total"))), F.lit(0)).alias("held"),
-        of(seen * F.log(seen / expected)).alias("g"),
-        of(seen).alias("seen"),
-        of(expected).alias("expected"),
-        F.sum(cell.cast("long")).alias("free"),
-    )
+    and the number of their next tokens that were seen twice or more.
+
+    Of the cells of a context, g is the sum of seen * log(seen / expected), free their number."""
+    stats = runs.where("ctx is not null").groupBy("ctx").agg(F.max("n").alias("n"), *(F.sum(c).alias(c) for c in _STATS[1:]))
     rest = F.greatest(F.col("n") - F.col("seen"), F.lit(0.0))
     g = F.col("g") + F.when(rest > 0, rest * F.log(rest / F.greatest(F.col("n") - F.col("expected"), F.lit(0.5)))).otherwise(0.0)
     chance = F.col("free") + LEAST_SIGMA * F.sqrt(2.0 * F.col("free"))
@@ -250,25 +304,29 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least
     told = words.withColumn("c", F.sum("n").over(of_word)).withColumn("one", F.col("segment") == F.min("segment").over(of_word))
     frequent = F.when(F.col("c") >= least, F.xxhash64("word")).alias("h")
     known = staged(told.where("c > 0").select("segment", "nth", "c", frequent, "one"), "lm_known")
-    number = lambda k: F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0))
-    got = known.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("c").alias("v"), number(1).alias("n1"), number(2).alias("n2")).first()
+    number = lambda of: F.coalesce(F.sum(of.cast("long")), F.lit(0))
+    c, one = F.col("c"), F.col("one")
+    got = known.agg(number(F.when(one, c)).alias("n"), number(one).alias("v"), number(one & (c == 1)).alias("n1"), number(one & (c == 2)).alias("n2"), number(F.col("nth") == 0).alias("segments")).first()
     train, distinct = got.n, got.v
     discount = (got.n1 + 0.5) / (got.n1 + 2 * got.n2 + 1)
     unknown = discount * distinct / train if train else 1.0
+    buckets = max(2 * shuffle_partitions(docs.sparkSession), -(-got.segments * SEGMENT_WORDS // BUCKET_RUNS))
 
     texts = rows.where("tokens is not null or hashes is not null").select("segment", "doc_id", "held_out", "tokens", "hashes")
     contexts = side = _beside(known.where("h is not null"), 0, "nth", "c")
     beside = _beside(known, 0, "nth", "c")
     ending = known.where("h is not null").select("segment", F.col("h").alias("ctx"))  # contexts a segment has
+    none = [F.lit(None).cast("long").alias(c) for c in ("key", "value")]
     for d in range(1, depth + 1):
-        runs = count_runs(texts, side, d, train, least)
+        runs = count_runs(texts, side, d, train, least, buckets)
+        often = runs.where("code is not null")
         kept = ending.join(retained(runs), "ctx")
-        totals = _beside(runs.where("total >= 2"), d, "code", "total")
+        totals = runs.where("codes is not null").select(F.col("segment").alias("seg"), F.lit(d).alias("kind"), *none, F.col("codes").alias("keys"), F.col("totals").alias("values"))
         beside = beside.unionByName(totals).unionByName(_beside(kept, -d, "ctx", "held"))
         # shorter runs than those just counted are needed as contexts only
         side = contexts.unionByName(totals)
-        contexts = contexts.unionByName(totals.where(F.col("value") >= least))
-        ending = runs.where(F.col("total") >= least).select("segment", F.col("code").alias("ctx"))
+        contexts = contexts.unionByName(_beside(often, d, "code", "total"))
+        ending = often.select("segment", F.col("code").alias("ctx"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "n_in_context", "base_score", "score"]
 
