@@ -149,7 +149,8 @@ class Segment:
 
     side: what is known of them, rows (kind, key, value): counts of words by number (kind 0)
     and of runs of d + 1 tokens by code (kind d), the mass that retained contexts of d tokens
-    hold themselves (kind -d). Rows of runs may hold many, packed in keys and values.
+    hold themselves (kind -d). Rows of runs may hold many, packed in keys and values; a value is
+    then twice the number, and 1 more in one of the segments that have the run (told).
     At each place of at[d] a context of d tokens that is a candidate ends just before it;
     codes[d] and counts[d] are those of that context and the token there.
     """
@@ -166,11 +167,13 @@ class Segment:
         self.offset = np.arange(len(tokens)) - np.repeat(self.starts, lengths)
         self.learned = np.repeat(~self.docs.column("held_out").to_numpy(zero_copy_only=False).astype(bool), lengths)
         self.hashes = hashes[0][tokens]
-        self.side = {}
+        self.side, self.told = {}, {}
         for k in pc.unique(side.column("kind")).to_pylist():
             rows = side.filter(pc.equal(side.column("kind"), k))
             many, one = rows.filter(rows.column("keys").is_valid()), rows.filter(rows.column("keys").is_null())
-            self.side[k] = tuple(np.concatenate([one.column(c).to_numpy(), unpacked(many.column(f"{c}s"), np.int64)]) for c in ("key", "value"))
+            codes, totals = (unpacked(many.column(c), np.int64) for c in ("keys", "values"))
+            self.told[k] = codes[totals & 1 == 1]
+            self.side[k] = np.concatenate([one.column("key").to_numpy(), codes]), np.concatenate([one.column("value").to_numpy(), totals >> 1])
         of_word = np.zeros(len(hashes[0]), np.int64)
         nth, n = self.known(0)
         of_word[nth] = n
@@ -201,17 +204,50 @@ _RUNS = {"code": np.int64, "n": np.int64, "ctx": np.int64, "length": np.int32, "
 _STATS = ("n", "held", "g", "seen", "expected", "free")
 
 
-def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least: int, buckets: int) -> DataFrame:
+def context_sums(ctx: np.ndarray, n_ctx: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> dict[str, np.ndarray]:
+    """What retained needs of next tokens seen once or more, summed by context."""
+    order = np.argsort(ctx, kind="stable")
+    ctx, n_ctx, seen, mean = ctx[order], n_ctx[order], seen[order], expected[order].astype(np.float64)
+    cell = (mean > 0) & ((mean >= 1) | (seen >= LEAST_SEEN))
+    g = np.where(cell, seen * np.log(seen / np.where(cell, mean, 1)), 0.0)
+    starts = _starts(ctx)
+    add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0, x.dtype)
+    sums = (n_ctx[starts], add(np.where(seen >= 2, seen, 0)), add(g), add(np.where(cell, seen, 0.0)), add(np.where(cell, mean, 0.0)), add(cell.astype(np.int64)))
+    return {"ctx": ctx[starts], **dict(zip(_STATS, sums))}
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+
+
+def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least: int, buckets: int, last: int) -> DataFrame:
     """The runs of a candidate context of depth tokens and one more, totalled over all segments.
 
     Rows (segment, codes, totals) have runs of a segment that were seen twice or more in
     training, packed. Rows (segment, code, total) repeat those of least times or more. Rows
-    (ctx, n, held, g, seen, expected, free) have, without a segment, sums over a part of the
-    next tokens of a context: see retained. Longer runs that can neither be seen twice nor be
-    a cell of the test are not sent."""
+    (depth, ctx, n, held, g, seen, expected, free) have, without a segment, sums over a part of
+    the next tokens of a context: see retained. Longer runs that can neither be seen twice nor
+    be a cell of the test are not sent. Runs of two tokens are the most, and are sent without
+    their contexts: the sums of these are made by the segments in the next pass, with the
+    totals at hand, if there is one (last > 1)."""
+    alone = depth == 1 < last
+
+    def earlier(s: Segment) -> np.ndarray:
+        """Sums for contexts of one token: each run counts in one of its segments."""
+        at = s.at[1]
+        code, first, which = np.unique(s.codes[1][at], return_index=True, return_inverse=True)
+        n, total, place = np.bincount(which, s.learned[at], minlength=len(code)), s.counts[1][at[first]], at[first]
+        use = np.isin(code, s.told.get(1, code[:0])) | ((total == 0) & (n == 1))  # without a total it was seen here only
+        place, seen = place[use], np.maximum(total[use], 1)
+        n_ctx, n_run = s.counts[0][place - 1], s.counts[0][place]
+        share = np.where(n_run < least, 0, n_run / max(train, 1))
+        sums = context_sums(s.hashes[place - 1], n_ctx, seen, (n_ctx * share).astype(np.float32))
+        return np.concatenate([x.view(np.int64) for x in sums.values()])
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        s = Segment(left, right, depth, least)
+        s, segment, rows = Segment(left, right, depth, least), left.column("segment")[0].as_py(), []
+        if depth == 2:
+            rows.append({"bucket": segment % buckets, "sums": packed(earlier(s)), **dict.fromkeys(_RUNS, b"")})
         at = s.at[depth]
         n_ctx, n_run = s.counts[depth - 1][at - 1], s.counts[depth - 1][at]
         share = n_run / (train if depth == 1 else s.counts[depth - 2][at - 1])
@@ -225,52 +261,49 @@ def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least:
         n = np.bincount(which, s.learned[at], minlength=len(code)).astype(np.int64)
         ctx, n_ctx, expected = s.codes[depth - 1][at[first] - 1], n_ctx[first], expected[first]
         bucket = ((code.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        rows = []
-        order = np.lexsort((ctx, bucket))
+        order = np.argsort(code.view(np.uint64)) if alone else np.lexsort((ctx, bucket))
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            starts = np.flatnonzero(np.append(True, np.diff(ctx[part]) != 0))
+            starts = _starts(ctx[part])
             length = np.diff(np.append(starts, len(part))).astype(np.int32)
             columns = (code[part], n[part], ctx[part][starts], length, n_ctx[part][starts], expected[part])
-            rows.append({"bucket": int(bucket[part[0]]), **{c: packed(x) for c, x in zip(_RUNS, columns)}})
-        schema = pa.schema([("segment", pa.int64()), ("bucket", pa.int64()), *((c, pa.binary()) for c in _RUNS)])
-        segment = left.column("segment")[0].as_py()
+            rows.append({"bucket": int(bucket[part[0]]), **{c: b"" if alone and c not in ("code", "n") else packed(x) for c, x in zip(_RUNS, columns)}})
+        schema = pa.schema([("segment", pa.int64()), ("bucket", pa.int64()), *((c, pa.binary()) for c in (*_RUNS, "sums"))])
         return pa.Table.from_pylist([{"segment": segment, **r} for r in rows], schema)
 
     def total(table: pa.Table) -> pa.Table:
         code, n, ctx, length, n_ctx, expected = (unpacked(table.column(c), t) for c, t in _RUNS.items())
         row = np.repeat(np.arange(len(table)), [len(c) // 8 for c in table.column("code").to_pylist()])
-        ctx, n_ctx = np.repeat(ctx, length), np.repeat(n_ctx, length)
         order = np.argsort(code, kind="stable")
-        starts = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
-        totals = np.add.reduceat(n[order], starts)
-        # one row of each run is for the sums over contexts
-        one = order[starts][totals > 0]
-        one, seen = one[np.argsort(ctx[one], kind="stable")], totals[totals > 0][np.argsort(ctx[one], kind="stable")]
-        mean = expected[one].astype(np.float64)
-        cell = (mean > 0) & ((mean >= 1) | (seen >= LEAST_SEEN))
-        g = np.where(cell, seen * np.log(seen / np.where(cell, mean, 1)), 0.0)
-        ends = np.flatnonzero(np.append(True, np.diff(ctx[one]) != 0)) if len(one) else np.zeros(0, np.int64)
-        add = lambda x: np.add.reduceat(x, ends) if len(ends) else np.zeros(0, x.dtype)
-        sums = (n_ctx[one][ends], add(np.where(seen >= 2, seen, 0)), add(g), add(np.where(cell, seen, 0.0)), add(np.where(cell, mean, 0.0)), add(cell.astype(np.int64)))
-        out = [pa.table({"ctx": ctx[one][ends], **dict(zip(_STATS, sums))})]
+        starts = _starts(code[order])
+        totals = np.add.reduceat(n[order], starts) if len(starts) else n
+        out = []
+        for cell in table.column("sums").drop_null().to_pylist():
+            whole = unpacked(pa.chunked_array([[cell]], pa.binary()), np.int64).reshape(1 + len(_STATS), -1)
+            out.append(pa.table({"depth": np.full(whole.shape[1], depth - 1), **{c: x.view(schema.field(c).type.to_pandas_dtype()) for c, x in zip(("ctx", *_STATS), whole)}}))
+        if not alone:  # one row of each run is for the sums over contexts
+            one, seen = order[starts][totals > 0], totals[totals > 0]
+            sums = context_sums(np.repeat(ctx, length)[one], np.repeat(n_ctx, length)[one], seen, expected[one])
+            out.append(pa.table({"depth": np.full(len(sums["ctx"]), depth), **sums}))
         # the rest goes back to the segments, by code
+        first = np.zeros(len(code), np.int64)
+        first[starts] = 1
         totals = np.repeat(totals, np.diff(np.append(starts, len(code))))
-        order, totals = order[totals >= 2], totals[totals >= 2]
+        order, first, totals = (x[totals >= 2] for x in (order, first, totals))
         by_row = np.argsort(row[order], kind="stable")
-        order, totals = order[by_row], totals[by_row]
+        order, first, totals = (x[by_row] for x in (order, first, totals))
         segments = table.column("segment").to_numpy()
         often = totals >= least
         out.append(pa.table({"segment": segments[row[order[often]]], "code": code[order[often]], "total": totals[often]}))
         cuts = np.flatnonzero(np.diff(row[order])) + 1
-        for codes, counts, at in zip(np.split(code[order], cuts), np.split(totals, cuts), np.split(order, cuts)):
+        for codes, counts, at in zip(np.split(code[order], cuts), np.split(2 * totals + first, cuts), np.split(order, cuts)):
             if len(at):
                 out.append(pa.table({"segment": segments[row[at[:1]]], "codes": pa.array([packed(codes)], pa.binary()), "totals": pa.array([packed(counts)], pa.binary())}))
         return pa.concat_tables([schema.empty_table(), *out], promote_options="default").select(schema.names).cast(schema)
 
-    long = ("segment", "code", "total", "ctx", "n", "held", "free")
+    long = ("segment", "code", "total", "depth", "ctx", "n", "held", "free")
     schema = pa.schema([*((c, pa.int64()) for c in long), *((c, pa.float64()) for c in ("g", "seen", "expected")), ("codes", pa.binary()), ("totals", pa.binary())])
     kinds = {pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary"}
-    sent = texts.groupBy("segment").cogroup(side.groupBy("seg")).applyInArrow(send, ", ".join(["segment long", "bucket long", *(f"{c} binary" for c in _RUNS)]))
+    sent = texts.groupBy("segment").cogroup(side.groupBy("seg")).applyInArrow(send, ", ".join(["segment long", "bucket long", *(f"{c} binary" for c in (*_RUNS, "sums"))]))
     return staged(sent.groupBy("bucket").applyInArrow(total, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)), f"lm_runs{depth}")
 
 
@@ -315,18 +348,19 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least
     texts = rows.where("tokens is not null or hashes is not null").select("segment", "doc_id", "held_out", "tokens", "hashes")
     contexts = side = _beside(known.where("h is not null"), 0, "nth", "c")
     beside = _beside(known, 0, "nth", "c")
-    ending = known.where("h is not null").select("segment", F.col("h").alias("ctx"))  # contexts a segment has
+    endings = {1: known.where("h is not null").select("segment", F.col("h").alias("ctx"))}  # contexts a segment has
     none = [F.lit(None).cast("long").alias(c) for c in ("key", "value")]
     for d in range(1, depth + 1):
-        runs = count_runs(texts, side, d, train, least, buckets)
+        runs = count_runs(texts, side, d, train, least, buckets, depth)
         often = runs.where("code is not null")
-        kept = ending.join(retained(runs), "ctx")
         totals = runs.where("codes is not null").select(F.col("segment").alias("seg"), F.lit(d).alias("kind"), *none, F.col("codes").alias("keys"), F.col("totals").alias("values"))
-        beside = beside.unionByName(totals).unionByName(_beside(kept, -d, "ctx", "held"))
+        beside = beside.unionByName(totals)
+        for e in (1, 2) if d == 2 else () if d == 1 < depth else (d,):
+            beside = beside.unionByName(_beside(endings[e].join(retained(runs.where(F.col("depth") == e)), "ctx"), -e, "ctx", "held"))
         # shorter runs than those just counted are needed as contexts only
         side = contexts.unionByName(totals)
         contexts = contexts.unionByName(_beside(often, d, "code", "total"))
-        ending = often.select("segment", F.col("code").alias("ctx"))
+        endings[d + 1] = often.select("segment", F.col("code").alias("ctx"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "n_in_context", "base_score", "score"]
 
