@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
@@ -27,7 +28,19 @@ def cell_integer(i, j, below: int = 1000, seed: int = SEED) -> Column:
 
 
 def cell_integers(rows, width: int, below: int = 1000, seed: int = SEED) -> np.ndarray:
-    """cell_integer for all cells of the rows, for use inside tasks."""
+    """cell_integer for all cells of the rows, for use inside tasks; a range's are kept for the
+    next blocks of the same rows."""
+    return _of_range(rows, width, below, seed) if isinstance(rows, range) else _integers(rows, width, below, seed)
+
+
+@lru_cache(maxsize=64)
+def _of_range(rows: range, width: int, below: int, seed: int) -> np.ndarray:
+    cells = _integers(rows, width, below, seed)
+    cells.setflags(write=False)
+    return cells
+
+
+def _integers(rows, width: int, below: int, seed: int) -> np.ndarray:
     return np.array([[int(hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest()[:13], 16) % below for j in range(width)] for i in rows], dtype=np.int64).reshape(len(rows), width)
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .validate import check_split
+
 
 def concat_matrices(parts: list[tuple[DataFrame, int]], axis: str = "col") -> DataFrame:
     """All-gather: coo parts side by side (col) or one below the other (row); each part comes
@@ -23,6 +25,13 @@ def reduce_scatter(partials: DataFrame, owner: F.Column) -> DataFrame:
     return partials.groupBy("i", "j").agg(F.sum("v").cast("long").alias("v")).withColumn("owner", owner)
 
 
+def reduce_scatter_splits(partials: DataFrame, splits: list[int], total: int, axis: str = "j") -> DataFrame:
+    """reduce_scatter where part k owns the next splits[k] indices of an axis of length total."""
+    check_split(splits, total)
+    ends = F.array(*[F.lit(sum(splits[: k + 1])).cast("long") for k in range(len(splits))])
+    return reduce_scatter(partials, F.size(F.filter(ends, lambda e: e <= F.col(axis))))
+
+
 def all_reduce(values: DataFrame, *keys: str) -> DataFrame:
     """Sum, largest and smallest of v over the ranks."""
     return values.groupBy(*keys).agg(F.sum("v").cast("long").alias("sum_v"), F.max("v").cast("long").alias("max_v"), F.min("v").cast("long").alias("min_v"), F.count("*").alias("n_ranks"))

@@ -6,6 +6,7 @@ array), row-major, rb and cb the numbers of the block in a grid of `size` rows a
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,18 @@ def rows_to_blocks(rows: DataFrame, size: int) -> DataFrame:
     )
 
 
+def transpose_blocks(blocks: DataFrame) -> DataFrame:
+    """Each block is transposed where it lies."""
+
+    def run(batches):
+        for batch in batches:
+            rb, cb, nrow, ncol, data = batch.columns
+            out = [d.values.to_numpy().reshape(n.as_py(), -1).T.ravel() for n, d in zip(nrow, data)]
+            yield pa.RecordBatch.from_arrays([cb, rb, ncol, nrow, pa.array(out, pa.list_(pa.float64()))], names=["rb", "cb", "nrow", "ncol", "data"])
+
+    return blocks.select("rb", "cb", "nrow", "ncol", "data").mapInArrow(run, "rb int, cb int, nrow int, ncol int, data array<double>")
+
+
 def blocks_to_coo(blocks: DataFrame, size: int) -> DataFrame:
     cells = blocks.select("rb", "cb", "ncol", F.posexplode("data").alias("p", "v"))
     return cells.select(

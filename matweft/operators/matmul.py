@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from matweft.functions import SEED, cell_integers, wrap_int32
 
+from .encodings import blocks_to_coo, rows_to_coo
 from .generators import omega
 
 #: Largest right-hand side (numbers) that goes to every task; larger ones are joined.
 BROADCAST_CELLS = 4_000_000
+#: Sums of blocks that a task holds before it hands them on.
+HELD_BLOCKS = 32
 
 
 def multiply_coo(a: DataFrame, b: DataFrame, transpose_a: bool = False, wrap: bool = False, wide: bool = False) -> DataFrame:
@@ -31,21 +34,28 @@ def multiply_coo(a: DataFrame, b: DataFrame, transpose_a: bool = False, wrap: bo
 
 def multiply_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
     """A B for blocks of one size: pairs of blocks meet by the inner block number, are
-    multiplied by BLAS, and products are summed by block."""
+    multiplied by BLAS, and products are summed by block, first within a task."""
     right = b.select(F.col("rb").alias("k"), F.col("cb").alias("cb2"), F.col("nrow").alias("nrow2"), F.col("ncol").alias("ncol2"), F.col("data").alias("data2"))
     pairs = a.join(right, F.col("cb") == F.col("k")).select("rb", F.col("cb2").alias("cb"), "nrow", "ncol", "ncol2", "data", "data2")
 
     def product(batches):
+        held: dict = {}
+
+        def summed():
+            sizes = [np.array(x, np.int32) for x in zip(*[(*at, *s.shape) for at, s in held.items()])]
+            return pa.RecordBatch.from_arrays([*map(pa.array, sizes), pa.array([s.ravel() for s in held.values()], pa.list_(pa.float64()))], names=["rb", "cb", "nrow", "ncol", "data"])
+
         for batch in batches:
-            nrow, inner, ncol = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            rb, cb, nrow, inner = (batch.column(k).to_pylist() for k in range(4))
             left, right = batch.column(5), batch.column(6)
-            out = [
-                (left[k].values.to_numpy().reshape(m, -1) @ right[k].values.to_numpy().reshape(p, -1)).ravel()
-                for k, (m, p) in enumerate(zip(nrow, inner))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nrow, pa.int32()), pa.array(ncol, pa.int32()), pa.array(out, pa.list_(pa.float64()))], names=["rb", "cb", "nrow", "ncol", "data"]
-            )
+            for k, at in enumerate(zip(rb, cb)):
+                part = left[k].values.to_numpy().reshape(nrow[k], -1) @ right[k].values.to_numpy().reshape(inner[k], -1)
+                held[at] = held[at] + part if at in held else part
+                if len(held) >= HELD_BLOCKS:
+                    yield summed()
+                    held.clear()
+        if held:
+            yield summed()
 
     return sum_blocks(pairs.mapInArrow(product, "rb int, cb int, nrow int, ncol int, data array<double>"))
 
@@ -92,6 +102,26 @@ def multiply_dense(rows: DataFrame, inner: int, width: int, strategy: str = "gen
     raise ValueError(f"strategy {strategy!r} is not generate or send")
 
 
+def product(a: DataFrame, b: DataFrame | None = None, strategy: str = "join", inner: int = 0, width: int = 0, seed: int = SEED) -> DataFrame:
+    """A B as coo by any strategy: join (both coo), blocks (both blocks of one size, that of
+    their first block), generate or send (rows a, and b the random matrix, inner x width)."""
+    if strategy == "join":
+        return multiply_coo(a, b)
+    if strategy == "blocks":
+        first = a.where("rb = 0 and cb = 0").select("nrow", "ncol").first()
+        return blocks_to_coo(multiply_blocks(a, b), max(first) if first else 1)
+    return rows_to_coo(multiply_dense(a, inner, width, strategy, seed))
+
+
+def exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b of 64-bit integers: by BLAS where doubles hold every sum, else in integers, with an
+    error where those overflow."""
+    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if bound < 2**53:
+        return (a.astype(float) @ b.astype(float)).astype(np.int64)
+    return a @ b if bound < 2**62 else (a.astype(object) @ b.astype(object)).astype(np.int64)
+
+
 def multiply_sent(rows: DataFrame, b: DataFrame, inner: int, width: int) -> DataFrame:
     """A B with B (coo, inner x width) made once and sent to every task, if it is small
     enough; else as a join on the inner index."""
@@ -100,7 +130,7 @@ def multiply_sent(rows: DataFrame, b: DataFrame, inner: int, width: int) -> Data
         cells = multiply_coo(coo, b)
         return cells.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("c")).select("i", F.expr("cast(transform(c, e -> e.v) as array<double>)").alias("x"))
     matrix = np.zeros((inner, width))
-    for r in b.collect():  # at most BROADCAST_CELLS
-        matrix[r.i, r.j] = r.v
+    cells = b.select("i", "j", "v").toArrow()  # at most BROADCAST_CELLS
+    matrix[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["v"].to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(matrix)
     return _per_row(rows, width, lambda _: sent.value)

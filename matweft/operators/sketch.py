@@ -2,8 +2,8 @@
 
 The strategies give the same (Y, Z) and differ in what moves:
 n1  row panels of A; Y is made where they lie, Z is a sum of small partial products
-n2  as n1, then Y is dealt out by column and each column of Z is made alone
-n3  as n1, then Y is dealt out in 2-D blocks and Z is a sum over row blocks
+n2  as n1, then Y meets Ω by row and each column of Z is a sum over all rows
+n3  as n2, but Z is a sum over 2-D blocks of Y first
 n4  2-D blocks of A; partial products are summed to Y by row, then Z as in n1
 n5  2-D blocks of A; the sum by row block makes Y and its part of Z in one step
 All arithmetic is on integers below 2^53 in Y and in 64-bit integers in Z.
@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matweft.functions import SEED, cell_integers
+from matweft.functions import SEED, cell_integer, cell_integers
 
 from .encodings import blocks_to_coo
 from .generators import omega
 from .kernels import BLOCK
-from .matmul import multiply_coo
+from . import matmul
+from .matmul import exact_product, multiply_coo
 
 STRATEGIES = ("n1", "n2", "n3", "n4", "n5")
 
@@ -111,17 +112,24 @@ def sketch(blocks: DataFrame, n: int, rank: int, strategy: str = "auto", size: i
     om = omega(rows, rank, seed=seed).select(F.col("i").alias("k"), F.col("j").alias("a"), F.col("v").alias("w"))
     product = F.sum(F.col("w") * F.col("v"))
     if strategy == "n2":
-        dealt = y.repartition("j")
-        z = dealt.join(om, F.col("i") == F.col("k")).groupBy("a", "j").agg(product.alias("v"))
+        z = y.join(om, F.col("i") == F.col("k")).groupBy("a", "j").agg(product.alias("v"))
     else:
-        blocked = y.withColumn("rb", F.expr(f"i div {size}")).withColumn("cb", F.expr(f"j div {max(1, rank // 2)}")).repartition("rb", "cb")
+        blocked = y.withColumn("rb", F.expr(f"i div {size}")).withColumn("cb", F.expr(f"j div {max(1, rank // 2)}"))
         part = blocked.join(om, F.col("i") == F.col("k")).groupBy("rb", "cb", "a", "j").agg(product.alias("v"))
         z = part.groupBy("a", "j").agg(F.sum("v").alias("v"))
     return y, z.select(F.col("a").alias("i"), "j", "v")
 
 
 def sketch_linear(rows: DataFrame, n: int, rank: int, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(Y, Z) for A = X Xᵀ without A: Y = X (Xᵀ Ω). rows has integers."""
+    """(Y, Z) for A = X Xᵀ without A: Y = X (Xᵀ Ω). rows has integers, null ones count as 0, in
+    arrays of one length; null rows are left out.
+
+    Xᵀ Ω is summed from a small product for each batch of rows, and sent to all tasks if it has
+    at most BROADCAST_CELLS numbers; else the products are joins.
+    """
+    first = rows.where("x is not null").select(F.size("x").alias("d")).first()
+    if first and first.d * rank <= matmul.BROADCAST_CELLS:
+        return _sketch_factors(rows, first.d, rank, seed)
     x = rows.select("i", F.posexplode("x").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
     om = omega(rows.select("i"), rank, seed=seed)
     t = multiply_coo(x, om, transpose_a=True)
@@ -129,6 +137,47 @@ def sketch_linear(rows: DataFrame, n: int, rank: int, seed: int = SEED) -> tuple
     return y, multiply_coo(om, y, transpose_a=True)
 
 
+def _sketch_factors(rows: DataFrame, width: int, rank: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    whole = F.transform("x", lambda e: F.coalesce(e.cast("long"), F.lit(0).cast("long"))).alias("x")
+    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(rank - 1).cast("long")), lambda j: cell_integer(F.col("i"), j, seed=seed)).alias("w")
+    wide = rows.where("x is not null").select("i", whole, draws)
+
+    def matrices(batch):
+        return (batch.column(k).flatten().to_numpy().reshape(len(batch), -1) for k in (1, 2))
+
+    def cells(m):
+        i, j = np.divmod(np.arange(m.size), m.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(m.ravel())], names=["i", "j", "v"])
+
+    def inner(batches):
+        for batch in batches:
+            if len(batch):
+                x, w = matrices(batch)
+                yield cells(exact_product(x.T, w))
+
+    summed = F.sum("v").alias("v")
+    got = wide.mapInArrow(inner, "i long, j long, v long").groupBy("i", "j").agg(summed).toArrow()  # width * rank numbers
+    t = np.zeros((width, rank), np.int64)
+    t[got["i"].to_numpy(), got["j"].to_numpy()] = got["v"].to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(t)
+
+    def outer(batches):
+        for batch in batches:
+            if len(batch):
+                y = exact_product(next(matrices(batch)), sent.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(y), pa.list_(pa.int64()))], names=["i", "y"])
+
+    def both(batches):
+        for batch in batches:
+            if len(batch):
+                x, w = matrices(batch)
+                yield cells(exact_product(w.T, exact_product(x, sent.value)))
+
+    y = wide.select("i", "x").mapInArrow(outer, "i long, y array<long>").select("i", F.posexplode("y").alias("j", "v"))
+    z = wide.mapInArrow(both, "i long, j long, v long").groupBy("i", "j").agg(summed)
+    return y.select("i", F.col("j").cast("long").alias("j"), "v"), z
+
+
 def reconstruct(y: DataFrame, z: DataFrame, n: int, rank: int, rcond: float = 1e-15) -> DataFrame:
     """coo of Â = Y Z⁺ Yᵀ."""
     return blocks_to_coo(reconstruct_blocks(y, z, n, rank, rcond), BLOCK)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,6 +216,22 @@ def reduce_scatter_row(spark, sf_dir):
     return collectives.reduce_scatter(part, F.least(F.expr("i div 40"), F.lit(3)))
 
 
+@query("""SELECT l_suppkey AS i, (l_partkey % 16) AS j, sum(l_quantity::bigint)::bigint AS v,
+  (CASE WHEN l_partkey % 16 < 3 THEN 0 WHEN l_partkey % 16 < 10 THEN 1 WHEN l_partkey % 16 < 11 THEN 3 ELSE 4 END)::int AS owner FROM lineitem GROUP BY ALL""")
+def reduce_scatter_splits(spark, sf_dir):
+    """As reduce_scatter_col, with parts of 3, 7, 0, 1 and 5 columns."""
+    part = _read(spark, sf_dir, "lineitem").groupBy("l_linenumber", F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 16).alias("j")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
+    return collectives.reduce_scatter_splits(part, [3, 7, 0, 1, 5], 16)
+
+
+@query("""SELECT o_custkey AS i, list_transform(range(7), lambda k: coalesce(m[k], 0))::bigint[] AS x FROM
+(SELECT o_custkey, map_from_entries(list((j, v))) AS m FROM (SELECT o_custkey, o_orderkey % 7 AS j, count(*)::bigint AS v FROM orders GROUP BY ALL) GROUP BY ALL)""")
+def gather_rows(spark, sf_dir):
+    """The sparse customer x slot matrix of orders, gathered to dense rows."""
+    cells = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("i"), (F.col("o_orderkey") % 7).alias("j")).agg(F.count("*").alias("v"))
+    return encodings.coo_to_rows(cells, 7)
+
+
 @query("""SELECT l_partkey AS j, sum((l_suppkey + 1) * l_quantity::bigint)::bigint AS sum_v, max((l_suppkey + 1) * l_quantity::bigint)::bigint AS max_v,
   min((l_suppkey + 1) * l_quantity::bigint)::bigint AS min_v, count(*) AS n_ranks FROM lineitem GROUP BY ALL""")
 def allreduce(spark, sf_dir):
@@ -286,11 +303,24 @@ def matmul_comm(spark, sf_dir):
 def matmul_blocks(spark, sf_dir):
     """X Xᵀ as a product of blocks."""
     rows = features(spark, sf_dir)
-    n = count(spark, sf_dir)
     blocks = encodings.rows_to_blocks(rows, 256)
-    flipped = encodings.rows_to_coo(rows).groupBy(F.col("j").alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c"))
-    other = encodings.rows_to_blocks(flipped.select("i", F.expr("transform(c, e -> e.v)").alias("x")), 256)
-    return encodings.blocks_to_coo(matmul.multiply_blocks(blocks, other), 256).select("i", "j", F.col("v").cast("long").alias("v")).where(F.col("i") < n)
+    product = matmul.multiply_blocks(blocks, encodings.transpose_blocks(blocks))
+    return encodings.blocks_to_coo(product, 256).select("i", "j", F.col("v").cast("long").alias("v"))
+
+
+@query(f"SELECT s.strategy, g.* FROM ({GEN}) g, (SELECT unnest(['join', 'blocks', 'generate', 'send']) AS strategy) s")
+def matmul_product(spark, sf_dir):
+    """X B for the random B (64 x 8) by each strategy of the one entry for products."""
+    rows = features(spark, sf_dir)
+    b = generators.omega(spark.range(64).select(F.col("id").alias("i")), RANK)
+    sides = {
+        "join": (encodings.rows_to_coo(rows), b),
+        "blocks": (encodings.rows_to_blocks(rows, 64), encodings.rows_to_blocks(encodings.coo_to_rows(b, RANK), 64)),
+        "generate": (rows, None),
+        "send": (rows, None),
+    }
+    found = [matmul.product(*ab, strategy=s, inner=64, width=RANK).select(F.lit(s).alias("strategy"), "i", "j", F.col("v").cast("long").alias("v")) for s, ab in sides.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 # kernels
@@ -462,6 +492,14 @@ def mean_runs(spark, sf_dir):
     return means(spark, sf_dir)
 
 
+@query(
+    f"{RUNS} SELECT alg, system, phase, count(seconds) AS n_runs, min(seconds) AS min_time, round(avg(seconds), 6) AS mean_time, max(seconds) AS max_time "
+    f"FROM (SELECT alg, system, phase, seconds FROM runs UNPIVOT (seconds FOR phase IN ({', '.join(PHASES)}))) GROUP BY alg, system, phase"
+)
+def phase_metrics(spark, sf_dir):
+    return runlogs.phase_metrics(sketch_runs(spark, sf_dir), ["alg", "system"], PHASES)
+
+
 TOTAL = " + ".join(PHASES)
 
 

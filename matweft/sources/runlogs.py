@@ -90,6 +90,13 @@ def breakdown_total(runs: DataFrame, parts: list[str]) -> DataFrame:
     return runs.withColumn("breakdown_total_time", reduce(lambda a, b: a + b, [F.coalesce(F.col(p), F.lit(0.0)) for p in parts]))
 
 
+def phase_metrics(runs: DataFrame, keys: list[str], phases: list[str], digits: int = 6) -> DataFrame:
+    """Rows (keys, phase, n_runs, min_time, mean_time, max_time): the seconds that runs which
+    agree in the keys spent in each phase."""
+    long = runs.unpivot(keys, phases, "phase", "seconds")
+    return long.groupBy(*keys, "phase").agg(F.count("seconds").alias("n_runs"), F.min("seconds").alias("min_time"), F.round(F.avg("seconds"), digits).alias("mean_time"), F.max("seconds").alias("max_time"))
+
+
 def lookup(axis: DataFrame, runs: DataFrame, on: list[str], value: str, default: float | None = 0.0) -> DataFrame:
     """value for each row of axis: the least of several, the default if there is none; with
     no default a missing one is an error."""

@@ -181,3 +181,48 @@ def test_generators_are_uniform_and_xoroshiro_is_a_bit_stream():
     assert abs(cells.mean() - 499.5) < 25 and cells.min() >= 0 and cells.max() < 1000
     x = fn.xoroshiro128((1, 2), 2000)
     assert x[0] == (3 >> 11) * 2.0**-53 and (0 <= x).all() and (x < 1).all() and abs(x.mean() - 0.5) < 0.05
+
+
+def test_exact_product():
+    a, b = np.array([[2**40, 3], [1, 2**30]]), np.array([[2**20, 1], [5, 7]])
+    assert np.array_equal(matmul.exact_product(a, b), a @ b)
+    with pytest.raises(OverflowError):
+        matmul.exact_product(np.array([[2**40]]), np.array([[2**40]]))
+
+
+def test_sketch_of_factors_by_both_ways(spark, monkeypatch):
+    x = np.random.default_rng(1).integers(-1000, 1000, (40, 6))
+    rows = spark.createDataFrame([*((i, [int(v) for v in r]) for i, r in enumerate(x)), (40, None), (41, [1, None, 0, 0, 0, 2])], "i long, x array<long>").repartition(3)
+    full = np.vstack([x, np.zeros(6, int), [1, 0, 0, 0, 0, 2]])
+    om = fn.cell_integers(range(42), 3)
+    want = full @ (full.T @ om), om.T @ (full @ (full.T @ om))
+    for cells in (matmul.BROADCAST_CELLS, 1):
+        monkeypatch.setattr(matmul, "BROADCAST_CELLS", cells)
+        y, z = sketch.sketch_linear(rows, 42, 3)
+        assert np.array_equal(dense(y.where("v is not null"), (42, 3)), want[0]) and np.array_equal(dense(z, (3, 3)), want[1])
+    assert [d.count() for d in sketch.sketch_linear(rows.limit(0), 0, 3)] == [0, 0]
+
+
+def test_blocks_summed_within_tasks(spark, monkeypatch):
+    monkeypatch.setattr(matmul, "HELD_BLOCKS", 2)
+    a, b = encodings.rows_to_blocks(rows_of(spark, A), 7), encodings.transpose_blocks(encodings.rows_to_blocks(rows_of(spark, A[:9]), 7))
+    assert np.array_equal(dense(matmul.product(a, b, "blocks"), (M, 9)), A @ A[:9].T)
+    with pytest.raises(ValueError, match="not generate or send"):
+        matmul.product(rows_of(spark, A), None, "other", K, 2)
+
+
+def test_explicit_splits(spark):
+    cells = spark.createDataFrame([(0, j, 1) for j in range(5)] * 2, "i long, j long, v long")
+    got = {r.j: (r.v, r.owner) for r in collectives.reduce_scatter_splits(cells, [2, 0, 3], 5).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 2), 3: (2, 2), 4: (2, 2)}
+    with pytest.raises(ValueError, match="do not add up"):
+        collectives.reduce_scatter_splits(cells, [2, 2], 5)
+
+
+def test_kernel_blocks_to_a_file(spark, tmp_path):
+    x = np.random.default_rng(2).integers(0, 9, (11, 3))
+    cells = encodings.blocks_to_coo(kernels.kernel_blocks(rows_of(spark, x), 11, size=4), 4)
+    path = str(tmp_path / "gram.bin")
+    binary.write_matrix(encodings.coo_to_rows(cells, 11), path, 11, 11)
+    back = binary.read_matrix(spark, path, 11, 11)
+    assert np.array_equal(dense(encodings.rows_to_coo(back), (11, 11)), x @ x.T)
