@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, langid, line_dedup, mixing, pii, quality, simhash, suffix_dedup, suffix_tree
+from . import decontam, embed_dedup, langid, line_dedup, mixing, pii, quality, simhash, suffix_dedup, suffix_tree, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +118,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")).drop("spans")
 
 
+#: The rules of op12_url_rules, fixed by its contract.
+URL_RULES = "('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')"
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {URL_RULES} AS rules(host, path, verdict)")
+    return url_rules.judge_urls(_read(spark, sf_dir, "pages"), rules)
+
+
+OP12_SQL = f"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_rules.UPPER}', '{url_rules.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES {URL_RULES}) AS rules(rule_host, rule_path, verdict)),
+f AS (
+  SELECT rid, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN f USING (rid)
+"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_embeddings": op2_embeddings,
@@ -129,6 +150,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_url_rules": op12_url_rules,
 }
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_embeddings": OP2_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_embeddings": OP2_SQL, "op12_url_rules": OP12_SQL}
