@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, langid, line_dedup, mixing, pii, quality, simhash, suffix_dedup, suffix_tree, url_rules
+from . import decontam, embed_dedup, langid, line_dedup, mixing, periodic_runs, pii, quality, simhash, suffix_dedup, suffix_tree, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +118,67 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")).drop("spans")
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) where, for one document in ten by the crc32 of its id, the words from
+    some place on repeat the first of these: what op11_periodic_runs is asked to find."""
+    words, n = F.regexp_extract_all("text", F.lit(WORD), 0), F.size(F.regexp_extract_all("text", F.lit(WORD), 0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    held = docs.select("doc_id", "text", h.alias("h")).select("*", F.when(F.col("h") % 10 == 0, words).alias("words"), F.when(F.col("h") % 10 == 0, n).otherwise(0).alias("n"))
+    g, n = F.floor(F.col("h") / 10), F.col("n")
+    at = F.when(n > 0, g % n).otherwise(0).cast("int")
+    period = F.lit(1) + F.floor((n - F.col("at")) / (3 + g % 8)).cast("int")
+    held = held.withColumn("at", at).withColumn("period", period)
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("at") + 1, F.col("period")), F.ceil((n - F.col("at")) / F.col("period")).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", 1, F.col("at")), F.slice(again, 1, n - F.col("at"))), " ")
+    return held.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_runs(_read(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))).alias("best")
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    listed = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best, F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    length = -F.col("best.less")
+    return listed.select(
+        "doc_id", "n_runs", "best.start", length.alias("length"), "best.period", F.expr("(1000 * -best.less) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+#: SQL for crc32: a table made by its rule, then a step for each byte of text in ASCII.
+CRC_SQL = """t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"""
+
+
+def crc_sql(text: str) -> str:
+    of_bytes = f"list_prepend(4294967295, list_transform(range(1, len({text}) + 1), lambda k: ord(substr({text}, k, 1))::bigint))"
+    return f"xor(list_reduce({of_bytes}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH {CRC_SQL},
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+h AS (SELECT rid, doc_id, ws, len(ws) AS n, {crc_sql("doc_id::varchar")} AS h FROM d, t),
+p AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+q AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM p),
+w AS (SELECT rid, doc_id, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: CASE WHEN i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END) END AS ws FROM q),
+g AS (SELECT rid, i, md5(array_to_string(ws[i + 1:i + 6], ' ')) AS gram FROM (SELECT rid, ws, unnest(range(len(ws) - 5)) AS i FROM w WHERE len(ws) >= 6)),
+m AS (SELECT a.rid, a.i, b.i - a.i AS d FROM g a JOIN g b ON a.rid = b.rid AND a.gram = b.gram AND a.i < b.i),
+k AS (SELECT rid, d, i, i - row_number() OVER (PARTITION BY rid, d ORDER BY i) AS island FROM m),
+r AS (SELECT rid, start, length, min(d) AS period FROM (SELECT rid, d, min(i) AS start, count(*) + 5 + d AS length FROM k GROUP BY rid, d, island) WHERE length >= greatest(12, 2 * d) GROUP BY rid, start, length),
+s AS (
+  SELECT rid, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': period}}, (-length, start, period)) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY rid),
+x AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM (SELECT rid, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM w) ANTI JOIN x USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::bigint AS n_runs, best.start::bigint AS start, best.length::bigint AS length, best.period::bigint AS period,
+  (1000 * best.length // best.period)::bigint AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM w LEFT JOIN s USING (rid) LEFT JOIN c USING (rid)
+"""
+
+
 #: The rules of op12_url_rules, fixed by its contract.
 URL_RULES = "('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')"
 
@@ -150,7 +211,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_url_rules": op12_url_rules,
 }
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_embeddings": OP2_SQL, "op12_url_rules": OP12_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_embeddings": OP2_SQL, "op11_periodic_runs": OP11_SQL, "op12_url_rules": OP12_SQL}
