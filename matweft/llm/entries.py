@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, langid, line_dedup, mixing, periodic_runs, pii, quality, simhash, suffix_dedup, suffix_tree, url_rules
+from . import decontam, embed_dedup, langid, line_dedup, mixing, periodic_runs, pii, quality, simhash, spelling, suffix_dedup, suffix_tree, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,12 +147,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: SQL for crc32: a table made by its rule, then a step for each byte of text in ASCII.
+#: SQL for crc32: a table made by its rule, then a step for each byte of UTF-8.
 CRC_SQL = """t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"""
 
 
 def crc_sql(text: str) -> str:
-    of_bytes = f"list_prepend(4294967295, list_transform(range(1, len({text}) + 1), lambda k: ord(substr({text}, k, 1))::bigint))"
+    of_bytes = f"list_prepend(4294967295, list_transform(range(1, strlen({text}) + 1), lambda k: ('0x' || substr(hex({text}), 2 * k - 1, 2))::bigint))"
     return f"xor(list_reduce({of_bytes}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
@@ -200,6 +200,41 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h L
 """
 
 
+def planted_words(docs: DataFrame) -> DataFrame:
+    """The runs of letters of docs as words (word); by the crc32 of document and run, one in 31
+    has lost a code point: the variants that op13_spelling is asked to group."""
+    runs = spelling.letter_runs(docs)
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    held = runs.select("run", h.alias("h"), (h % F.length("run")).cast("int").alias("at"))
+    less = F.concat(F.substring("run", F.lit(1), F.col("at")), F.substring("run", F.col("at") + 2, F.length("run")))
+    return held.select(F.when(F.col("h") % 31 == 0, less).otherwise(F.col("run")).alias("word"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(planted_words(_read(spark, sf_dir, "documents"))))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[{spelling.LETTERS}]+')), '{spelling.UPPER}', '{spelling.LOWER}') AS run FROM documents),
+l AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, k, {crc_sql("doc_id || ':' || run")} AS h FROM l, t),
+w AS (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, sum(k)::bigint AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+d AS (SELECT word, n, place, substr(word, 1, place - 1) || substr(word, place + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM v)),
+p AS (
+  SELECT a.word, b.word AS other, b.n AS n_other FROM d a JOIN d b ON a.less = b.less AND a.place = b.place AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.less = v.word
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.less = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min({{'w': other, 'n': n_other}}, (-n_other, other)) AS best FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::bigint AS n_near, CASE WHEN best.n >= 10 * v.n THEN best END AS form FROM v LEFT JOIN b USING (word)),
+c AS (SELECT word, word AS root, 0 AS far FROM f UNION ALL SELECT c.word, f.form.w, far + 1 FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, far) AS root FROM c GROUP BY word)
+SELECT word, n, n_near, form.w AS form, form.n AS form_n, root FROM f JOIN e USING (word)
+"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_embeddings": op2_embeddings,
@@ -213,6 +248,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_url_rules": op12_url_rules,
+    "op13_spelling": op13_spelling,
 }
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_embeddings": OP2_SQL, "op11_periodic_runs": OP11_SQL, "op12_url_rules": OP12_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_embeddings": OP2_SQL, "op11_periodic_runs": OP11_SQL, "op12_url_rules": OP12_SQL, "op13_spelling": OP13_SQL}
