@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SEED = 1234
+from .random import SEED, cell_number, cell_numbers, jump, stream_rows, xoroshiro128
 
-
-def cell_number(i, j, seed: int = SEED) -> Column:
-    """A 52-bit number that depends on (seed, i, j) only, whatever the partitioning."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), i, j)), 1, 13), 16, 10).cast("long")
+__all__ = ["SEED", "cell_number", "cell_numbers", "jump", "stream_rows", "xoroshiro128"]
 
 
 def cell_uniform(i, j, seed: int = SEED) -> Column:
     """cell_number as a double in the unit interval."""
-    return cell_number(i, j, seed) / F.lit(float(1 << 52))
+    return cell_number(i, j, seed) / F.lit(float(1 << 53))
 
 
 def cell_integer(i, j, below: int = 1000, seed: int = SEED) -> Column:
@@ -28,36 +23,12 @@ def cell_integer(i, j, below: int = 1000, seed: int = SEED) -> Column:
 
 
 def cell_integers(rows, width: int, below: int = 1000, seed: int = SEED) -> np.ndarray:
-    """cell_integer for all cells of the rows, for use inside tasks; a range's are kept for the
-    next blocks of the same rows."""
-    return _of_range(rows, width, below, seed) if isinstance(rows, range) else _integers(rows, width, below, seed)
-
-
-@lru_cache(maxsize=64)
-def _of_range(rows: range, width: int, below: int, seed: int) -> np.ndarray:
-    cells = _integers(rows, width, below, seed)
-    cells.setflags(write=False)
-    return cells
-
-
-def _integers(rows, width: int, below: int, seed: int) -> np.ndarray:
-    return np.array([[int(hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest()[:13], 16) % below for j in range(width)] for i in rows], dtype=np.int64).reshape(len(rows), width)
-
+    """cell_integer for all cells of the rows, for use inside tasks."""
+    return cell_numbers(rows, width, seed) % below
 
-def xoroshiro128(state: tuple[int, int], n: int) -> np.ndarray:
-    """n doubles of the xoroshiro128+ generator with rotations 24, 16, 37, from a 128-bit state.
 
-    Sequential by nature, so it serves comparison with bulk streams, one stream a partition.
-    """
-    mask = (1 << 64) - 1
-    turn = lambda x, k: (x << k | x >> 64 - k) & mask
-    a, b = state
-    out = np.empty(n)
-    for k in range(n):
-        out[k] = ((a + b & mask) >> 11) * 2.0**-53
-        b ^= a
-        a, b = turn(a, 24) ^ b ^ (b << 16 & mask), turn(b, 37)
-    return out
+def cell_uniforms(rows, width: int, seed: int = SEED) -> np.ndarray:
+    return cell_numbers(rows, width, seed) * 2.0**-53
 
 
 def floor_split(n, parts, k) -> tuple[Column, Column]:

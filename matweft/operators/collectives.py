@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dense import data_type, sum_blocks
 from .validate import check_split
 
 
@@ -35,3 +36,14 @@ def reduce_scatter_splits(partials: DataFrame, splits: list[int], total: int, ax
 def all_reduce(values: DataFrame, *keys: str) -> DataFrame:
     """Sum, largest and smallest of v over the ranks."""
     return values.groupBy(*keys).agg(F.sum("v").cast("long").alias("sum_v"), F.max("v").cast("long").alias("max_v"), F.min("v").cast("long").alias("min_v"), F.count("*").alias("n_ranks"))
+
+
+def sum_tiles(tiles: DataFrame, fan: int | None = None) -> DataFrame:
+    """Sum of dense partial results: tiles (part, rb, cb, nrow, ncol, data) of all parts, by place,
+    in two keyed levels of about `fan` and then parts / fan sums each (fan: the root of the number
+    of shuffle partitions). What is moved is a tile a part and place, however many numbers went
+    into it; a task holds a sum and one tile."""
+    data_type(tiles)
+    fan = fan or max(1, round(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    first = sum_blocks(tiles.withColumn("part", F.expr(f"part % {fan}")), "part")
+    return sum_blocks(first.drop("part")) if fan > 1 else first.drop("part")

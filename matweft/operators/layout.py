@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matweft.functions import floor_split
+from matweft.session import staged
 
 #: Which grid axes split the rows and the columns, and which splits the columns again.
 FACES = {"a": ("row", "col", "fib"), "b": ("col", "fib", "row"), "c": ("row", "fib", "col")}
@@ -36,10 +37,31 @@ def face_layout(coords: DataFrame, face: str, dims: dict[str, int], m: int, n: i
     return coords.select("rank", row_start.alias("row_start"), n_rows.alias("n_rows"), (outer_start + inner_start).alias("col_start"), n_cols.alias("n_cols"))
 
 
+def prefix_sums(rows: DataFrame, order: list[str], value: str, name: str = "before") -> DataFrame:
+    """rows with the exclusive running sum of value in the order of some columns, which tell all
+    rows apart.
+
+    Rows are dealt out in ranges of the order and kept so; the ranges' sums (a row a range) give
+    each range what came before it, and a window within the range gives the rest. No task has
+    more than a range. Null values count as 0; the sums have value's own type, at least bigint.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("__range").agg(F.sum(value).alias("s")).orderBy("__range").collect()  # a row a range
+    ahead, offsets = 0, {}
+    for r in sums:
+        offsets[r["__range"]] = ahead
+        ahead += r.s or 0
+    kind = dealt.select(F.sum(value).alias("s")).schema["s"].dataType
+    offset = F.create_map(*[F.lit(x) for k, v in offsets.items() for x in (k, v)])[F.col("__range")].cast(kind) if offsets else F.lit(0)
+    within = F.sum(value).over(W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return dealt.withColumn(name, (offset + F.coalesce(within, F.lit(0))).cast(kind)).drop("__range")
+
+
 def displacements(counts: DataFrame) -> DataFrame:
     """(part, size) -> exclusive running sums, over one row a part."""
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    return counts.select("part", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("displacement"))
+    return prefix_sums(counts.select("part", "size"), ["part"], "size", "displacement")
 
 
 def redistribute(coo: DataFrame, m: int, n: int, row_parts: int, col_parts: int) -> DataFrame:

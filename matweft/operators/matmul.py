@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from matweft.functions import SEED, cell_integers, wrap_int32
 
+from .dense import batch_of, block_product, block_schema, block_sum, data_type, exact_product, sum_blocks  # noqa: F401
 from .encodings import blocks_to_coo, rows_to_coo
 from .generators import omega
+from .grid import multiply_grid
 
 #: Largest right-hand side (numbers) that goes to every task; larger ones are joined.
 BROADCAST_CELLS = 4_000_000
@@ -33,44 +35,28 @@ def multiply_coo(a: DataFrame, b: DataFrame, transpose_a: bool = False, wrap: bo
 
 
 def multiply_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
-    """A B for blocks of one size: pairs of blocks meet by the inner block number, are
-    multiplied by BLAS, and products are summed by block, first within a task."""
+    """A B for blocks of one size and type: pairs of blocks meet by the inner block number, are
+    multiplied, and products are summed by block, first within a task. Where both sides are large
+    multiply_grid moves less."""
+    kind = data_type(a)
     right = b.select(F.col("rb").alias("k"), F.col("cb").alias("cb2"), F.col("nrow").alias("nrow2"), F.col("ncol").alias("ncol2"), F.col("data").alias("data2"))
     pairs = a.join(right, F.col("cb") == F.col("k")).select("rb", F.col("cb2").alias("cb"), "nrow", "ncol", "ncol2", "data", "data2")
 
-    def product(batches):
+    def run(batches):
         held: dict = {}
-
-        def summed():
-            sizes = [np.array(x, np.int32) for x in zip(*[(*at, *s.shape) for at, s in held.items()])]
-            return pa.RecordBatch.from_arrays([*map(pa.array, sizes), pa.array([s.ravel() for s in held.values()], pa.list_(pa.float64()))], names=["rb", "cb", "nrow", "ncol", "data"])
-
         for batch in batches:
             rb, cb, nrow, inner = (batch.column(k).to_pylist() for k in range(4))
             left, right = batch.column(5), batch.column(6)
             for k, at in enumerate(zip(rb, cb)):
-                part = left[k].values.to_numpy().reshape(nrow[k], -1) @ right[k].values.to_numpy().reshape(inner[k], -1)
-                held[at] = held[at] + part if at in held else part
+                part = block_product(left[k].values.to_numpy().reshape(nrow[k], -1), right[k].values.to_numpy().reshape(inner[k], -1))
+                held[at] = block_sum(held.get(at), part)
                 if len(held) >= HELD_BLOCKS:
-                    yield summed()
+                    yield batch_of(kind, ((*at, m) for at, m in held.items()))
                     held.clear()
         if held:
-            yield summed()
-
-    return sum_blocks(pairs.mapInArrow(product, "rb int, cb int, nrow int, ncol int, data array<double>"))
-
+            yield batch_of(kind, ((*at, m) for at, m in held.items()))
 
-def sum_blocks(blocks: DataFrame) -> DataFrame:
-    """Sum of the blocks at each place, in one task a place."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for cell in table.column("data"):
-            part = cell.values.to_numpy()
-            total = part.copy() if total is None else total + part
-        return pa.table([*(table.column(c).slice(0, 1) for c in ("rb", "cb", "nrow", "ncol")), pa.array([total], pa.list_(pa.float64()))], names=["rb", "cb", "nrow", "ncol", "data"])
-
-    return blocks.groupBy("rb", "cb").applyInArrow(add, "rb int, cb int, nrow int, ncol int, data array<double>")
+    return sum_blocks(pairs.mapInArrow(run, block_schema(kind)))
 
 
 def _per_row(rows: DataFrame, width: int, right) -> DataFrame:
@@ -103,25 +89,16 @@ def multiply_dense(rows: DataFrame, inner: int, width: int, strategy: str = "gen
 
 
 def product(a: DataFrame, b: DataFrame | None = None, strategy: str = "join", inner: int = 0, width: int = 0, seed: int = SEED) -> DataFrame:
-    """A B as coo by any strategy: join (both coo), blocks (both blocks of one size, that of
-    their first block), generate or send (rows a, and b the random matrix, inner x width)."""
+    """A B as coo by any strategy: join (both coo), blocks or grid (both blocks of one size, that
+    of their first block), generate or send (rows a, and b the random matrix, inner x width)."""
     if strategy == "join":
         return multiply_coo(a, b)
-    if strategy == "blocks":
+    if strategy in ("blocks", "grid"):
         first = a.where("rb = 0 and cb = 0").select("nrow", "ncol").first()
-        return blocks_to_coo(multiply_blocks(a, b), max(first) if first else 1)
+        return blocks_to_coo((multiply_blocks if strategy == "blocks" else multiply_grid)(a, b), max(first) if first else 1)
     return rows_to_coo(multiply_dense(a, inner, width, strategy, seed))
 
 
-def exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b of 64-bit integers: by BLAS where doubles hold every sum, else in integers, with an
-    error where those overflow."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if bound < 2**53:
-        return (a.astype(float) @ b.astype(float)).astype(np.int64)
-    return a @ b if bound < 2**62 else (a.astype(object) @ b.astype(object)).astype(np.int64)
-
-
 def multiply_sent(rows: DataFrame, b: DataFrame, inner: int, width: int) -> DataFrame:
     """A B with B (coo, inner x width) made once and sent to every task, if it is small
     enough; else as a join on the inner index."""

@@ -1,131 +1,213 @@
 """Randomised low-rank sketches of a symmetric matrix: Y = A Ω, Z = Ωᵀ Y, Â = Y Z⁺ Yᵀ.
 
 The strategies give the same (Y, Z) and differ in what moves:
-n1  row panels of A; Y is made where they lie, Z is a sum of small partial products
-n2  as n1, then Y meets Ω by row and each column of Z is a sum over all rows
-n3  as n2, but Z is a sum over 2-D blocks of Y first
+n1  blocks of A meet by row panel and make Y as they come; Z is a sum of small partial products
+n2  as n1, then strips of columns of Y meet, and each makes its columns of Z alone
+n3  as n2, but strips are cut by rows too, and Z is a sum over these
 n4  2-D blocks of A; partial products are summed to Y by row, then Z as in n1
-n5  2-D blocks of A; the sum by row block makes Y and its part of Z in one step
-All arithmetic is on integers below 2^53 in Y and in 64-bit integers in Z.
+n5  as n4, the sum by row panel being the panels that Z is made from
+Y goes about in panels (rb, nrow, data) of `size` rows, Z in tiles; no row or group grows with n
+or with the square of the rank. Integers are 64-bit, exact or an error; real sketches use doubles.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matweft.functions import SEED, cell_integer, cell_integers
+from matweft.functions import SEED, cell_integers, cell_uniforms
+from matweft.session import staged
 
-from .encodings import blocks_to_coo
+from . import matmul
+from .collectives import sum_tiles
+from .dense import TILE, batch_of, block_product, block_schema, block_sum, sum_blocks, tiles_of, whole
+from .encodings import blocks_to_coo, coo_to_panels, transpose_blocks
+from .factor import NotSemidefinite, semidefinite_factor
 from .generators import omega
+from .grid import multiply_grid
 from .kernels import BLOCK
-from . import matmul
 from .matmul import exact_product, multiply_coo
 
 STRATEGIES = ("n1", "n2", "n3", "n4", "n5")
+#: Numbers of a partial Z (rank x rank) or of partial Y that a task may hold.
+HELD_CELLS = 16_000_000
 
 
 def choose_strategy(n: int, rank: int, parts: int, panel_cells: int = 4_000_000) -> str:
-    """n4 if a panel of `BLOCK` rows is too large for a task, else n1 if its partial sums
+    """n4 if a panel of `BLOCK` rows is too large to move, else n1 if its partial sums
     (parts * rank²) are less than Y (n * rank), else n2."""
     if BLOCK * n > panel_cells:
         return "n4"
     return "n1" if parts * rank < n else "n2"
 
 
-def _row_panels(blocks: DataFrame, rank: int, size: int, seed: int) -> DataFrame:
-    """Y by row blocks: all blocks of a row panel meet, in order, and are multiplied."""
+class _Draws:
+    """Rows of Ω in tasks, and the type of the sketch: integers of `cell_integers`, doubles of
+    `cell_uniforms`, or what a function (ids, rank) -> array gives."""
 
-    def run(table: pa.Table) -> pa.Table:
-        total = 0
-        for cb, nrow, ncol, data in zip(*(table.column(c) for c in ("cb", "nrow", "ncol", "data"))):
-            first = cb.as_py() * size
-            part = data.values.to_numpy().reshape(nrow.as_py(), -1)
-            total = total + part @ cell_integers(range(first, first + ncol.as_py()), rank, seed=seed).astype(float)
-        return pa.table([table.column("rb").slice(0, 1), pa.array([len(total)], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64()))], names=["rb", "nrow", "data"])
+    def __init__(self, rank: int, seed: int, real: bool, made: Callable | None):
+        self.rank, self.real = rank, real
+        self.kind = "double" if real else "bigint"
+        self.rows = made or (cell_uniforms if real else cell_integers)
+        self.more = {} if made else {"seed": seed}
 
-    return blocks.groupBy("rb").applyInArrow(run, "rb int, nrow int, data array<double>")
+    def __call__(self, ids) -> np.ndarray:
+        return self.rows(ids, self.rank, **self.more)
 
+    def matrix(self, data: pa.ListScalar, nrow: int) -> np.ndarray:
+        """A block or panel in the type of the sketch."""
+        x = data.values.to_numpy().reshape(nrow, -1)
+        return x.astype(np.float64, copy=False) if self.real else whole(x)
 
-def _partials(blocks: DataFrame, rank: int, size: int, seed: int) -> DataFrame:
-    """Partial Y of each 2-D block, where it lies."""
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for cb, nrow, ncol, data in zip(*(batch.column(k) for k in (1, 2, 3, 4))):
-                first = cb.as_py() * size
-                om = cell_integers(range(first, first + ncol.as_py()), rank, seed=seed).astype(float)
-                out.append((data.values.to_numpy().reshape(nrow.as_py(), -1) @ om).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.float64()))], names=["rb", "nrow", "data"])
+def _panel_schema(draws: _Draws) -> str:
+    return f"rb int, nrow int, data array<{draws.kind}>"
+
+
+def _panels_of(draws: _Draws, panels) -> pa.RecordBatch:
+    """Rows (rb, matrix) as a batch of panels."""
+    batch = batch_of(draws.kind, ((rb, 0, m) for rb, m in panels))
+    return pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 2, 4)], names=["rb", "nrow", "data"])
+
+
+def _partial_y(batches, size: int, draws: _Draws, most: int):
+    """Panels of Y from blocks as they come, summed by row panel as long as `most` are held."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for rb, cb, nrow, ncol, data in zip(*(batch.column(c) for c in ("rb", "cb", "nrow", "ncol", "data"))):
+            first, rb = cb.as_py() * size, rb.as_py()
+            held[rb] = block_sum(held.get(rb), block_product(draws.matrix(data, nrow.as_py()), draws(range(first, first + ncol.as_py()))))
+            if len(held) >= most:
+                yield _panels_of(draws, held.items())
+                held.clear()
+    if held:
+        yield _panels_of(draws, held.items())
+
+
+def _row_panels(blocks: DataFrame, size: int, draws: _Draws) -> DataFrame:
+    """Y by row panels: the blocks of a row panel meet and are multiplied one after the other."""
 
-    return blocks.select("rb", "cb", "nrow", "ncol", "data").mapInArrow(run, "rb int, nrow int, data array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _partial_y(batches, size, draws, 2)
+
+    return blocks.select("rb", "cb", "nrow", "ncol", "data").groupBy("rb").applyInArrow(run, _panel_schema(draws))
+
+
+def _summed_panels(blocks: DataFrame, size: int, draws: _Draws) -> DataFrame:
+    """Y by row panels: blocks are multiplied where they lie, and the products summed by row."""
+    most = max(1, HELD_CELLS // (size * draws.rank))
+    partial = blocks.select("rb", "cb", "nrow", "ncol", "data").mapInArrow(lambda batches: _partial_y(batches, size, draws, most), _panel_schema(draws))
+    whole_ = sum_blocks(partial.select("rb", F.lit(0).alias("cb"), "nrow", F.lit(draws.rank).alias("ncol"), "data"))
+    return whole_.select("rb", "nrow", "data")
 
 
 def _y_coo(panels: DataFrame, rank: int, size: int) -> DataFrame:
     cells = panels.select("rb", F.posexplode("data").alias("p", "v"))
-    return cells.select((F.col("rb").cast("long") * size + F.expr(f"p div {rank}")).alias("i"), F.expr(f"cast(p % {rank} as bigint)").alias("j"), F.col("v").cast("long").alias("v"))
+    return cells.select((F.col("rb").cast("long") * size + F.expr(f"p div {rank}")).alias("i"), F.expr(f"cast(p % {rank} as bigint)").alias("j"), "v")
+
+
+TILES = "part int, "
+
+
+def _tiles(draws: _Draws, total: np.ndarray, tile: int = TILE) -> pa.RecordBatch:
+    batch = batch_of(draws.kind, tiles_of(total, tile))
+    part = pa.array(np.full(len(batch), TaskContext.get().partitionId()), pa.int32())
+    return pa.RecordBatch.from_arrays([part, *batch.columns], names=["part", *batch.schema.names])
+
+
+def _sums_in_tasks(batches, product, draws: _Draws):
+    """Tiles of the sum of product(batch) over the batches of a task, yielded once; or each time,
+    where it is too large to hold."""
+    total = None
+    for batch in batches:
+        if len(batch):
+            part = product(batch)
+            total = block_sum(total, part)
+            if total.size > HELD_CELLS:
+                yield _tiles(draws, total)
+                total = None
+    if total is not None:
+        yield _tiles(draws, total)
 
 
-def _partial_z(panels: DataFrame, rank: int, size: int, seed: int) -> DataFrame:
-    """Rows (i, j, v): one small product Ωᵀ Y for each row block, summed."""
+def _z_tiles(panels: DataFrame, size: int, draws: _Draws) -> DataFrame:
+    """Tiles (rb, cb, nrow, ncol, data) of Z: Ωᵀ Y, summed in tasks and then in two levels."""
 
-    def run(batches):
+    def product(batch):
+        total = None
+        for rb, nrow, data in zip(*batch.columns):
+            first = rb.as_py() * size
+            total = block_sum(total, block_product(draws(range(first, first + nrow.as_py())).T, draws.matrix(data, nrow.as_py())))
+        return total
+
+    parts = panels.select("rb", "nrow", "data").mapInArrow(lambda batches: _sums_in_tasks(batches, product, draws), TILES + block_schema(draws.kind))
+    return sum_tiles(parts)
+
+
+def _z_strips(panels: DataFrame, n: int, size: int, draws: _Draws, by_rows: bool) -> DataFrame:
+    """Tiles of Z from strips of TILE columns of Y: a strip meets in one group, panel by panel, or
+    with by_rows in about √panels groups, whose products are summed."""
+    rank = draws.rank
+    count = max(1, -(-n // size))
+    height = math.isqrt(count - 1) + 1 if by_rows else count
+
+    def cut(batches):
         for batch in batches:
-            total = np.zeros((rank, rank), np.int64)
             for rb, nrow, data in zip(*batch.columns):
-                first = rb.as_py() * size
-                y = data.values.to_numpy().reshape(nrow.as_py(), rank).astype(np.int64)
-                total += cell_integers(range(first, first + nrow.as_py()), rank, seed=seed).T @ y
-            i, j = np.divmod(np.arange(rank * rank), rank)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], names=["i", "j", "v"])
+                y = draws.matrix(data, nrow.as_py())
+                yield batch_of(draws.kind, ((rb.as_py(), left // TILE, y[:, left : left + TILE]) for left in range(0, rank, TILE)))
 
-    return panels.select("rb", "nrow", "data").mapInArrow(run, "i long, j long, v long").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, at = None, None
+        for batch in batches:
+            for group, rb, cb, nrow, ncol, data in zip(*batch.columns):
+                first, at = rb.as_py() * size, (group.as_py(), cb.as_py())
+                total = block_sum(total, block_product(draws(range(first, first + nrow.as_py())).T, draws.matrix(data, nrow.as_py())))
+        if total is not None:
+            made = batch_of(draws.kind, ((r, at[1], m) for r, _, m in tiles_of(total)))
+            yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(made), pa.int32()), *made.columns], names=["part", *made.schema.names])
 
+    strips = panels.select("rb", "nrow", "data").mapInArrow(cut, block_schema(draws.kind))
+    strips = strips.select(F.expr(f"cast(rb div {height} as int)").alias("part"), "rb", "cb", "nrow", "ncol", "data")
+    parts = strips.groupBy("part", "cb").applyInArrow(product, TILES + block_schema(draws.kind))
+    return sum_blocks(parts.drop("part")) if by_rows else parts.drop("part")
 
-def sketch(blocks: DataFrame, n: int, rank: int, strategy: str = "auto", size: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(Y, Z) as coo from the blocks of an n x n symmetric integer matrix."""
+
+def sketch_parts(blocks: DataFrame, n: int, rank: int, strategy: str = "auto", size: int = BLOCK, seed: int = SEED, real: bool = False, draws: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """(Y, Z) as panels (rb, nrow, data) of `size` rows and as tiles of TILE rows and columns.
+
+    blocks are those of an n x n symmetric matrix, `size` rows and columns each. Its numbers are
+    integers, and Ω's as well; with real both are doubles. draws(ids, rank) makes other rows of Ω.
+    """
     if strategy == "auto":
         strategy = choose_strategy(n, rank, max(1, -(-n // size)))
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy {strategy!r} is not one of {STRATEGIES}")
-    if strategy in ("n4", "n5"):
-        partial = _partials(blocks, rank, size, seed)
-        if strategy == "n4":
-            y = _y_coo(partial, rank, size).groupBy("i", "j").agg(F.sum("v").alias("v"))
-            rows = blocks.sparkSession.range(n).select(F.col("id").alias("i"))
-            return y, multiply_coo(omega(rows, rank, seed=seed), y, transpose_a=True)
-
-        def add(table: pa.Table) -> pa.Table:
-            total = np.sum([x.values.to_numpy() for x in table.column("data")], axis=0)
-            return pa.table([table.column("rb").slice(0, 1), table.column("nrow").slice(0, 1), pa.array([total], pa.list_(pa.float64()))], names=["rb", "nrow", "data"])
-
-        panels = partial.groupBy("rb").applyInArrow(add, "rb int, nrow int, data array<double>")
-        return _y_coo(panels, rank, size), _partial_z(panels, rank, size, seed)
-    panels = _row_panels(blocks, rank, size, seed)
-    y = _y_coo(panels, rank, size)
-    if strategy == "n1":
-        return y, _partial_z(panels, rank, size, seed)
-    rows = blocks.sparkSession.range(n).select(F.col("id").alias("i"))
-    om = omega(rows, rank, seed=seed).select(F.col("i").alias("k"), F.col("j").alias("a"), F.col("v").alias("w"))
-    product = F.sum(F.col("w") * F.col("v"))
-    if strategy == "n2":
-        z = y.join(om, F.col("i") == F.col("k")).groupBy("a", "j").agg(product.alias("v"))
-    else:
-        blocked = y.withColumn("rb", F.expr(f"i div {size}")).withColumn("cb", F.expr(f"j div {max(1, rank // 2)}"))
-        part = blocked.join(om, F.col("i") == F.col("k")).groupBy("rb", "cb", "a", "j").agg(product.alias("v"))
-        z = part.groupBy("a", "j").agg(F.sum("v").alias("v"))
-    return y, z.select(F.col("a").alias("i"), "j", "v")
+    made = _Draws(rank, seed, real, draws)
+    panels = (_summed_panels if strategy in ("n4", "n5") else _row_panels)(blocks, size, made)
+    if strategy in ("n2", "n3"):
+        return panels, _z_strips(panels, n, size, made, strategy == "n3")
+    return panels, _z_tiles(panels, size, made)
+
+
+def sketch(blocks: DataFrame, n: int, rank: int, strategy: str = "auto", size: int = BLOCK, seed: int = SEED, real: bool = False, draws: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """sketch_parts with both as coo."""
+    panels, tiles = sketch_parts(blocks, n, rank, strategy, size, seed, real, draws)
+    return _y_coo(panels, rank, size), blocks_to_coo(tiles, TILE)
 
 
 def sketch_linear(rows: DataFrame, n: int, rank: int, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(Y, Z) for A = X Xᵀ without A: Y = X (Xᵀ Ω). rows has integers, null ones count as 0, in
     arrays of one length; null rows are left out.
 
-    Xᵀ Ω is summed from a small product for each batch of rows, and sent to all tasks if it has
-    at most BROADCAST_CELLS numbers; else the products are joins.
+    Xᵀ Ω is summed within tasks and in two levels, and sent to all tasks if it has at most
+    BROADCAST_CELLS numbers; else the products are joins.
     """
     first = rows.where("x is not null").select(F.size("x").alias("d")).first()
     if first and first.d * rank <= matmul.BROADCAST_CELLS:
@@ -138,69 +220,73 @@ def sketch_linear(rows: DataFrame, n: int, rank: int, seed: int = SEED) -> tuple
 
 
 def _sketch_factors(rows: DataFrame, width: int, rank: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    whole = F.transform("x", lambda e: F.coalesce(e.cast("long"), F.lit(0).cast("long"))).alias("x")
-    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(rank - 1).cast("long")), lambda j: cell_integer(F.col("i"), j, seed=seed)).alias("w")
-    wide = rows.where("x is not null").select("i", whole, draws)
+    filled = F.transform("x", lambda e: F.coalesce(e.cast("long"), F.lit(0).cast("long"))).alias("x")
+    wide = rows.where("x is not null and i is not null").select(F.col("i").cast("long").alias("i"), filled)
+    draws = _Draws(rank, seed, False, None)
 
-    def matrices(batch):
-        return (batch.column(k).flatten().to_numpy().reshape(len(batch), -1) for k in (1, 2))
+    def factor(batch):
+        return batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
 
-    def cells(m):
-        i, j = np.divmod(np.arange(m.size), m.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(m.ravel())], names=["i", "j", "v"])
+    def inner(batch):
+        return exact_product(factor(batch).T, draws(batch.column(0).to_numpy()))
 
-    def inner(batches):
-        for batch in batches:
-            if len(batch):
-                x, w = matrices(batch)
-                yield cells(exact_product(x.T, w))
-
-    summed = F.sum("v").alias("v")
-    got = wide.mapInArrow(inner, "i long, j long, v long").groupBy("i", "j").agg(summed).toArrow()  # width * rank numbers
+    sums = wide.mapInArrow(lambda batches: _sums_in_tasks(batches, inner, draws), TILES + block_schema("bigint"))
     t = np.zeros((width, rank), np.int64)
-    t[got["i"].to_numpy(), got["j"].to_numpy()] = got["v"].to_numpy()
+    for batch in sum_tiles(sums).toArrow().to_batches():  # width * rank numbers
+        for rb, cb, nrow, ncol, data in zip(*batch.columns):
+            at, left = rb.as_py() * TILE, cb.as_py() * TILE
+            t[at : at + nrow.as_py(), left : left + ncol.as_py()] = data.values.to_numpy().reshape(nrow.as_py(), -1)
     sent = rows.sparkSession.sparkContext.broadcast(t)
 
     def outer(batches):
         for batch in batches:
             if len(batch):
-                y = exact_product(next(matrices(batch)), sent.value)
+                y = exact_product(factor(batch), sent.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(y), pa.list_(pa.int64()))], names=["i", "y"])
 
-    def both(batches):
-        for batch in batches:
-            if len(batch):
-                x, w = matrices(batch)
-                yield cells(exact_product(w.T, exact_product(x, sent.value)))
+    def both(batch):
+        return exact_product(draws(batch.column(0).to_numpy()).T, exact_product(factor(batch), sent.value))
 
-    y = wide.select("i", "x").mapInArrow(outer, "i long, y array<long>").select("i", F.posexplode("y").alias("j", "v"))
-    z = wide.mapInArrow(both, "i long, j long, v long").groupBy("i", "j").agg(summed)
-    return y.select("i", F.col("j").cast("long").alias("j"), "v"), z
+    y = wide.mapInArrow(outer, "i long, y array<long>").select("i", F.posexplode("y").alias("j", "v"))
+    z = sum_tiles(wide.mapInArrow(lambda batches: _sums_in_tasks(batches, both, draws), TILES + block_schema("bigint")))
+    return y.select("i", F.col("j").cast("long").alias("j"), "v"), blocks_to_coo(z, TILE)
 
 
-def reconstruct(y: DataFrame, z: DataFrame, n: int, rank: int, rcond: float = 1e-15) -> DataFrame:
+def reconstruct(y: DataFrame, z: DataFrame, n: int, rank: int, rcond: float = 1e-15, method: str = "auto") -> DataFrame:
     """coo of Â = Y Z⁺ Yᵀ."""
-    return blocks_to_coo(reconstruct_blocks(y, z, n, rank, rcond), BLOCK)
+    return blocks_to_coo(reconstruct_blocks(y, z, n, rank, rcond, method), BLOCK)
+
 
+def reconstruct_blocks(y: DataFrame, z: DataFrame, n: int, rank: int, rcond: float = 1e-15, method: str = "auto") -> DataFrame:
+    """blocks of Â = Y Z⁺ Yᵀ, for Y and Z as coo.
 
-def reconstruct_blocks(y: DataFrame, z: DataFrame, n: int, rank: int, rcond: float = 1e-15) -> DataFrame:
-    """blocks of Â = Y Z⁺ Yᵀ. Z (rank x rank) is inverted on the driver; Y Z⁺ meets Yᵀ by row
-    panels as in a kernel."""
+    cholesky: for semidefinite A; Â = F Fᵀ by a blocked factorisation, nothing is collected that
+    grows with the square of the rank. pinv: for any A; Z is inverted on the driver, which takes at
+    most BROADCAST_CELLS numbers. auto: the first, and the second where it finds A not semidefinite.
+    """
+    if method not in ("auto", "cholesky", "pinv"):
+        raise ValueError(f"method {method!r} is not auto, cholesky or pinv")
+    y = staged(coo_to_panels(y, n, rank, BLOCK), "panels")
+    z = staged(coo_to_panels(z, rank, rank, BLOCK), "panels")
+    if method != "pinv":
+        try:
+            factor, width = semidefinite_factor(z, y, rank, BLOCK, rcond)
+            left = factor.select("rb", F.lit(0).alias("cb"), "nrow", F.lit(width).alias("ncol"), "data")
+            return multiply_grid(left, transpose_blocks(left))
+        except NotSemidefinite:
+            if method == "cholesky":
+                raise
+    if rank * rank > matmul.BROADCAST_CELLS:
+        raise ValueError(f"the pseudo-inverse of {rank} x {rank} numbers is too large for the driver; only semidefinite matrices are rebuilt at this rank")
     small = np.zeros((rank, rank))
-    for r in z.collect():  # rank² numbers
-        small[r.i, r.j] = r.v
+    for rb, nrow, data in zip(*z.toArrow().columns):
+        at = rb.as_py() * BLOCK
+        small[at : at + nrow.as_py()] = data.values.to_numpy().reshape(-1, rank)
     inverse = np.linalg.pinv(small, rcond=rcond)
-    rows = y.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("c"))
-    rows = rows.select("i", F.expr("cast(transform(c, e -> e.v) as array<double>)").alias("x"))
-    panels = rows.groupBy(F.floor(F.col("i") / BLOCK).cast("int").alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("r"))
-    panels = panels.select("b", F.size("r").alias("n"), F.expr("flatten(transform(r, e -> e.x))").alias("data"))
-    count = -(-n // BLOCK)
-    left = panels.select(F.col("b").alias("rb"), F.col("n").alias("nrow"), F.col("data").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("cb"))
-    pairs = left.join(panels.select(F.col("b").alias("cb"), F.col("n").alias("ncol"), F.col("data").alias("q")), "cb").select("rb", "cb", "nrow", "ncol", "p", "q")
-
-    def run(batches):
+
+    def times(batches):
         for batch in batches:
-            out = [(p.values.to_numpy().reshape(-1, rank) @ inverse @ q.values.to_numpy().reshape(-1, rank).T).ravel() for p, q in zip(batch.column(4), batch.column(5))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.list_(pa.float64()))], names=["rb", "cb", "nrow", "ncol", "data"])
+            yield batch_of("double", ((rb.as_py(), 0, data.values.to_numpy().reshape(-1, rank) @ inverse) for rb, _, data in zip(*batch.columns)))
 
-    return pairs.mapInArrow(run, "rb int, cb int, nrow int, ncol int, data array<double>")
+    left = y.select("rb", "nrow", "data").mapInArrow(times, block_schema("double"))
+    return multiply_grid(left, transpose_blocks(y.select("rb", F.lit(0).alias("cb"), "nrow", F.lit(rank).alias("ncol"), "data")))

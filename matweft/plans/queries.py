@@ -3,8 +3,6 @@ rows (ids 0..n-1), A = X Xᵀ. Grids have one process a supplier; logs come from
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from functools import reduce
 
@@ -12,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matweft import functions as fn
+from matweft.functions import random as fn_random
 from matweft.operators import collectives, encodings, generators, kernels, layout, matmul, sketch, validate
+from matweft.session import shared_dir
 from matweft.sources import binary, runlogs
 
 RANK = 8
@@ -51,7 +51,26 @@ def gram(spark, sf_dir):
 
 
 X = "x AS (SELECT vec_id AS i, (generate_subscripts(embedding, 1) - 1)::bigint AS j, round(unnest(embedding)::double * 1000)::bigint AS v FROM embeddings)"
-OMEGA = f"om AS (SELECT vec_id AS i, j, ('0x' || substr(md5(concat_ws(':', 1234, vec_id, j)), 1, 13))::bigint % 1000 AS v FROM embeddings, (SELECT unnest(range({RANK})) AS j))"
+
+
+def _philox_sql(i: str, j: str) -> str:
+    """Number of 53 bits of cell (i, j), in DuckDB: a fold over the keys of the rounds."""
+    m0, m1 = fn_random.MULTIPLIERS
+    keys = ", ".join(f"[{a}, {b}, 0, 0]" for a, b in fn_random.round_keys(fn.SEED))
+    high = lambda x, m: f"((x[{x}]::hugeint * {m}) // 4294967296)::bigint"
+    low = lambda x, m: f"((x[{x}]::hugeint * {m}) % 4294967296)::bigint"
+    step = f"[xor(xor({high(3, m1)}, x[2]), k[1]), {low(3, m1)}, xor(xor({high(1, m0)}, x[4]), k[2]), {low(1, m0)}]"
+    first = f"[({i}) % 4294967296, ({i}) // 4294967296, ({j}) // 2 % 4294967296, ({j}) // 8589934592]"
+    words = f"list_reduce(list_prepend({first}, [{keys}]::bigint[][]), lambda x, k: {step})"
+    return f"(SELECT CASE WHEN ({j}) % 2 = 0 THEN r[1] * 2097152 + r[2] // 2048 ELSE r[3] * 2097152 + r[4] // 2048 END FROM (SELECT {words} AS r))"
+
+
+def _omega_sql(rank: int, value: str = "{} % 1000") -> str:
+    cell = value.format(_philox_sql("vec_id", "j"))
+    return f"om AS (SELECT vec_id AS i, j, {cell} AS v FROM embeddings, (SELECT unnest(range({rank})) AS j))"
+
+
+OMEGA = _omega_sql(RANK)
 N = "(SELECT count(*) FROM embeddings)"
 T = "t AS (SELECT x.j AS i, om.j, sum(x.v * om.v)::bigint AS v FROM x JOIN om ON x.i = om.i GROUP BY ALL)"
 Y = "y AS (SELECT x.i, t.j, sum(x.v::hugeint * t.v)::bigint AS v FROM x JOIN t ON x.j = t.i GROUP BY ALL)"
@@ -84,12 +103,33 @@ def omega(spark, sf_dir):
     return generators.omega(ids(spark, sf_dir), RANK)
 
 
-@query(f"""SELECT vec_id AS i, j, ('0x' || substr(md5(concat_ws(':', 1234, vec_id, j)), 1, 13))::bigint / 4503599627370496::double AS v
-FROM embeddings, (SELECT unnest(range({RANK})) AS j)""")
+@query(f"WITH {_omega_sql(RANK, '{} / 9007199254740992::double')} SELECT * FROM om")
 def omega_uniform(spark, sf_dir):
     return generators.omega(ids(spark, sf_dir), RANK, integer=False)
 
 
+@query(f"WITH {_omega_sql(3, '{}')} SELECT * FROM om")
+def omega_column(spark, sf_dir):
+    """The numbers behind Omega as a column expression."""
+    cells = ids(spark, sf_dir).select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("j"))
+    return cells.select("i", "j", fn.cell_number(F.col("i"), F.col("j")).alias("v"))
+
+
+STREAM = (1234, 987654321)
+_LONG = 1 << 64
+_turn = lambda x, k: f"(({x}) * {1 << k}::hugeint % {_LONG} + ({x}) // {1 << 64 - k}::hugeint)"
+
+
+@query(f"""WITH RECURSIVE s AS (
+  SELECT 0::bigint AS k, {STREAM[0]}::hugeint AS a, {STREAM[1]}::hugeint AS b
+  UNION ALL SELECT k + 1, xor(xor({_turn("a", fn_random.TURN_A)}, xor(a, b)), xor(a, b) * {1 << fn_random.SHIFT_B} % {_LONG}), {_turn("xor(a, b)", fn_random.TURN_C)}
+  FROM s WHERE k + 1 < {RANK} * {N})
+SELECT k % {N} AS i, k // {N} AS j, ((a + b) % {_LONG} // 2048)::double / 9007199254740992 AS v FROM s""")
+def omega_stream(spark, sf_dir):
+    """Omega as one sequential stream fills it column by column, made in parts by jumps."""
+    return generators.omega_stream(spark, count(spark, sf_dir), RANK, STREAM)
+
+
 # layout
 
 P2, P3 = 2, 5
@@ -167,6 +207,14 @@ def displacements(spark, sf_dir):
     return layout.displacements(_read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("part")).agg(F.count("*").alias("size")))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_quantity::bigint AS size, coalesce(sum(l_quantity::bigint) OVER (ORDER BY l_orderkey, l_linenumber, l_quantity
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS displacement FROM lineitem""")
+def prefix_sum(spark, sf_dir):
+    """Where each line's quantity begins if all are laid end to end, by range and not in one task."""
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("size"))
+    return layout.prefix_sums(lines, ["l_orderkey", "l_linenumber", "size"], "size", "displacement")
+
+
 def _redist(name: str, rows: int, cols: int):
     sql = f"""WITH {X}, d AS (SELECT *, least(i // greatest(1, {N} // {rows}), {rows} - 1)::int AS rb, least(j // greatest(1, 64 // {cols}), {cols} - 1)::int AS cb FROM x)
 SELECT rb, cb, count(*) AS n_cells, sum(v)::bigint AS sum_v, sum(v * (i + 1) * (j + 1))::bigint AS check_v FROM d GROUP BY ALL"""
@@ -279,7 +327,7 @@ def matmul_transposed(spark, sf_dir):
     return matmul.multiply_coo(quantities(spark, sf_dir), nations, transpose_a=True)
 
 
-GEN = f"""WITH {X}, b AS (SELECT i, j, ('0x' || substr(md5(concat_ws(':', 1234, i, j)), 1, 13))::bigint % 1000 AS v FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range({RANK})) AS j))
+GEN = f"""WITH {X}, b AS (SELECT i, j, {_philox_sql("i", "j")} % 1000 AS v FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range({RANK})) AS j))
 SELECT x.i, b.j, sum(x.v * b.v)::bigint AS v FROM x JOIN b ON x.j = b.i GROUP BY ALL"""
 
 
@@ -323,6 +371,46 @@ def matmul_product(spark, sf_dir):
     return reduce(DataFrame.unionByName, found)
 
 
+@query(f"WITH {X} SELECT a.i, b.i AS j, sum(a.v * b.v)::bigint AS v FROM x a JOIN x b ON a.j = b.j GROUP BY ALL")
+def matmul_grid(spark, sf_dir):
+    """X Xᵀ on a grid chosen by bytes."""
+    blocks = encodings.rows_to_blocks(features(spark, sf_dir), 64, "bigint")
+    return encodings.blocks_to_coo(matmul.multiply_grid(blocks, encodings.transpose_blocks(blocks)), 64)
+
+
+GRIDS = [(2, 2, 2), (1, 1, 8), (8, 1, 1), (1, 8, 1), (2, 4, 1)]
+
+
+@query(f"SELECT s.grid, g.* FROM ({GEN}) g, (SELECT unnest([{', '.join(repr('x'.join(map(str, g))) for g in GRIDS)}]) AS grid) s")
+def matmul_grids(spark, sf_dir):
+    """X B on grids of three, two and one axis."""
+    x = encodings.rows_to_blocks(features(spark, sf_dir), 8, "bigint")
+    b = generators.omega(spark.range(64).select(F.col("id").alias("i")), RANK)
+    b = encodings.rows_to_blocks(encodings.coo_to_rows(b, RANK), 8, "bigint")
+    found = [encodings.blocks_to_coo(matmul.multiply_grid(x, b, g), 8).select(F.lit("x".join(map(str, g))).alias("grid"), "i", "j", "v") for g in GRIDS]
+    return reduce(DataFrame.unionByName, found)
+
+
+WRAP = "(({} + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648"
+
+
+@query(f"""WITH {X}, w AS (SELECT i, j, {WRAP.format("v * 999983")} AS v FROM x), s AS (SELECT a.i, b.i AS j, sum(a.v::hugeint * b.v) AS v FROM w a JOIN w b ON a.j = b.j GROUP BY ALL)
+SELECT i, j, ({WRAP.format("v")})::int AS v FROM s""")
+def matmul_int32_blocks(spark, sf_dir):
+    """X Xᵀ of 32-bit blocks, which wrap."""
+    rows = features(spark, sf_dir).select("i", F.transform("x", lambda e: fn.wrap_int32(e * 999983)).alias("x"))
+    blocks = encodings.rows_to_blocks(rows, 128, "int")
+    return encodings.blocks_to_coo(matmul.multiply_grid(blocks, encodings.transpose_blocks(blocks)), 128)
+
+
+@query(f"WITH {X}, d AS (SELECT i, j, trunc(v / 50)::bigint AS v FROM x) SELECT a.i, b.i AS j, sum(a.v * b.v)::float AS v FROM d a JOIN d b ON a.j = b.j GROUP BY ALL")
+def matmul_float32_blocks(spark, sf_dir):
+    """X Xᵀ of float blocks, of numbers so small that its sums are exact."""
+    rows = features(spark, sf_dir).select("i", F.transform("x", lambda e: (e / 50).cast("long")).alias("x"))
+    blocks = encodings.rows_to_blocks(rows, 128, "float")
+    return encodings.blocks_to_coo(matmul.multiply_grid(blocks, encodings.transpose_blocks(blocks)), 128)
+
+
 # kernels
 
 
@@ -364,6 +452,21 @@ for _s in sketch.STRATEGIES:
     _sketch(_s, 0)
     _sketch(_s, 1)
 
+WIDE = 300
+
+
+def _wide(strategy: str):
+    def run(spark, sf_dir):
+        return sketch.sketch(gram(spark, sf_dir), count(spark, sf_dir), WIDE, strategy)[1]
+
+    run.__name__ = f"sketch_z_wide_{strategy}"
+    run.__doc__ = f"Z of rank {WIDE}: more than one tile."
+    return query(Z_SQL.replace(OMEGA, _omega_sql(WIDE)))(run)
+
+
+for _s in ("n1", "n3"):
+    _wide(_s)
+
 
 def _recon_sql(rank: int) -> str:
     head = Z_SQL.rpartition("SELECT")[0].replace(f"range({RANK})", f"range({rank})")
@@ -577,26 +680,39 @@ def allclose(spark, sf_dir):
 def csv_round_trip(spark, sf_dir):
     """X written as a result table and read again with its schema, then gathered to rows."""
     x = encodings.rows_to_coo(features(spark, sf_dir))
-    path = f"{_shared(spark)}/matweft_table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/matweft_table-{uuid.uuid4().hex}"
     runlogs.write_table(x, path)
     back = runlogs.read_table(spark, path, "i bigint, j bigint, v bigint")
     return encodings.rows_to_coo(encodings.coo_to_rows(back, 64)).select("i", "j", F.col("v").cast("long").alias("v"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where there is no cluster."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-    return (named or tempfile.mkdtemp(prefix="matweft-")).rstrip("/")
-
-
 @query()
 def binary_round_trip(spark, sf_dir):
     """X written to a matrix file by parallel tasks and read back in 16 parts (no SQL: a file)."""
     n = count(spark, sf_dir)
     rows = features(spark, sf_dir).select("i", F.expr("cast(x as array<double>)").alias("x"))
-    path = f"{_shared(spark).removeprefix('file://')}/matweft-{uuid.uuid4().hex}.bin"
+    path = f"{shared_dir(spark).removeprefix('file://')}/matweft-{uuid.uuid4().hex}.bin"
     binary.write_matrix(rows, path, n, 64)
     back = binary.read_matrix(spark, path, n, 64)
     return validate.matrix_diff(encodings.rows_to_coo(rows), encodings.rows_to_coo(back))
+
+
+def _file(spark) -> str:
+    return f"{shared_dir(spark).removeprefix('file://')}/matweft-{uuid.uuid4().hex}.bin"
+
+
+@query(f"WITH {X} SELECT a.i, b.i AS j, sum(a.v * b.v)::bigint AS v FROM x a JOIN x b ON a.j = b.j GROUP BY ALL")
+def file_product(spark, sf_dir):
+    """X Xᵀ of the blocks of a matrix file."""
+    n, path = count(spark, sf_dir), _file(spark)
+    binary.write_blocks(encodings.rows_to_blocks(features(spark, sf_dir), 64), path, n, 64, 64)
+    blocks = binary.read_blocks(spark, path, n, 64, 64)
+    return encodings.blocks_to_coo(matmul.multiply_grid(blocks, encodings.transpose_blocks(blocks)), 64).select("i", "j", F.col("v").cast("long").alias("v"))
+
+
+@query(Z_SQL)
+def file_sketch(spark, sf_dir):
+    """Z of the Gram matrix, written to a file block by block and sketched from there."""
+    n, path = count(spark, sf_dir), _file(spark)
+    binary.write_blocks(gram(spark, sf_dir), path, n, n, kernels.BLOCK)
+    return sketch.sketch(binary.read_blocks(spark, path, n, n, kernels.BLOCK), n, RANK, "n4")[1]

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -35,3 +38,20 @@ def importable(spark: SparkSession) -> SparkSession:
     if REPO not in paths:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named in spark.checkpoint.dir; a temporary one
+    only where there is no cluster."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return (named or tempfile.mkdtemp(prefix="matweft-")).rstrip("/")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: what is used several times is
+    made once, and a lost executor costs only the tasks it ran."""
+    path = f"{shared_dir(df.sparkSession)}/matweft-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
