@@ -179,18 +179,20 @@ def _z_strips(panels: DataFrame, n: int, size: int, draws: _Draws, by_rows: bool
     return sum_blocks(parts.drop("part")) if by_rows else parts.drop("part")
 
 
-def sketch_parts(blocks: DataFrame, n: int, rank: int, strategy: str = "auto", size: int = BLOCK, seed: int = SEED, real: bool = False, draws: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def sketch_parts(blocks: DataFrame, n: int, rank: int, strategy: str = "auto", size: int = BLOCK, seed: int = SEED, real: bool = False, draws: Callable | None = None, panels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(Y, Z) as panels (rb, nrow, data) of `size` rows and as tiles of TILE rows and columns.
 
     blocks are those of an n x n symmetric matrix, `size` rows and columns each. Its numbers are
     integers, and Ω's as well; with real both are doubles. draws(ids, rank) makes other rows of Ω.
+    panels is Y, where it is there already.
     """
     if strategy == "auto":
         strategy = choose_strategy(n, rank, max(1, -(-n // size)))
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy {strategy!r} is not one of {STRATEGIES}")
     made = _Draws(rank, seed, real, draws)
-    panels = (_summed_panels if strategy in ("n4", "n5") else _row_panels)(blocks, size, made)
+    if panels is None:
+        panels = (_summed_panels if strategy in ("n4", "n5") else _row_panels)(blocks, size, made)
     if strategy in ("n2", "n3"):
         return panels, _z_strips(panels, n, size, made, strategy == "n3")
     return panels, _z_tiles(panels, size, made)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from matweft import functions as fn
 from matweft.functions import random as fn_random
+from matweft.operators import metrics as run_metrics
 from matweft.operators import collectives, encodings, generators, kernels, layout, matmul, sketch, validate
 from matweft.session import shared_dir
 from matweft.sources import binary, runlogs
@@ -603,6 +604,30 @@ def phase_metrics(spark, sf_dir):
     return runlogs.phase_metrics(sketch_runs(spark, sf_dir), ["alg", "system"], PHASES)
 
 
+@query("""SELECT CASE WHEN s_suppkey % 17 = 0 THEN 'no header' WHEN s_suppkey % 13 = 0 OR s_suppkey % 11 = 0 THEN 'name and header disagree' ELSE 'taken' END AS reason,
+  count(*) AS n_logs, min(s_suppkey)::bigint AS first_log FROM supplier GROUP BY ALL""")
+def scan_log_folder(spark, sf_dir):
+    """Logs of the suppliers, written to a folder and read from there: how many are taken, and how
+    many are not for which reason."""
+    rank = "cast(s_suppkey % 7 + 1 as string)"
+    name = f"'nystrom-1d-redist-1d_cpp_cluster_8_32_32_' || cast(s_suppkey as string) || '_' || (case when s_suppkey % 11 = 0 then 'none' else {rank} end) || '_32x1x1_1x1x32.1'"
+    body = f"case when s_suppkey % 17 = 0 then 'srun: error' else 'Nystrom approximation of ' || cast(s_suppkey as string) || 'x' || cast(s_suppkey as string) || ' matrix to rank ' || (case when s_suppkey % 13 = 0 then '0' else {rank} end) || ' using nystrom-1d-redist-1d' end || chr(10) || 'Total time: 2.5 sec'"
+    folder = f"{shared_dir(spark).removeprefix('file://')}/matweft-logs-{uuid.uuid4().hex}"
+    runlogs.write_logs(_read(spark, sf_dir, "supplier").selectExpr(f"{name} AS name", f"{body} AS body"), folder)
+    logs = runlogs.read_logs(spark, f"file://{folder}")
+    taken = runlogs.parse_sketch_logs(logs, strict=False).select(F.lit("taken").alias("reason"), F.col("n").cast("long").alias("log"))
+    left = runlogs.rejects(logs, runlogs.sketch_reason()).select("reason", F.split("name", "_")[6].cast("long").alias("log"))
+    return taken.unionByName(left).groupBy("reason").agg(F.count("*").alias("n_logs"), F.min("log").alias("first_log"))
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n, ceil(count(*) / {kernels.BLOCK})::bigint AS b FROM embeddings)
+SELECT * FROM (SELECT 0 AS phase_no, 'matrix' AS phase, b * b AS n_rows, n * n AS n_numbers FROM n UNION ALL SELECT 1, 'panels', b, n * {RANK} FROM n UNION ALL SELECT 2, 'tiles', 1, {RANK * RANK} FROM n)""")
+def sketch_metrics(spark, sf_dir):
+    """What the phases of a sketch made: the library's own metrics, without their times."""
+    metrics = run_metrics.measured_sketch(gram(spark, sf_dir), count(spark, sf_dir), RANK)[2]
+    return metrics.select("phase_no", "phase", "n_rows", "n_numbers")
+
+
 TOTAL = " + ".join(PHASES)
 
 

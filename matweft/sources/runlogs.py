@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,30 +53,73 @@ def _held(logs: DataFrame) -> DataFrame:
     return logs.select(F.inline(F.array(F.struct("name", "body", "modified"))))
 
 
-def parse_sketch_logs(logs: DataFrame) -> DataFrame:
-    """One row a log with a header; a header that contradicts the name is an error."""
-    logs = _held(logs)
-    part = F.split("name", r"[_.x]+")
-    number = lambda k: F.get(part, F.lit(k)).cast("int")
-    head = [F.regexp_extract("body", SKETCH_HEADER, k) for k in (1, 2, 3)]
-    rows = logs.where(F.regexp_extract("body", SKETCH_HEADER, 0) != "")
-    agree = (head[0].cast("int") == number(6)) & (head[1].cast("int") == number(6)) & (head[2].cast("int") == number(7))
-    rows = rows.where(F.when(agree, True).otherwise(F.raise_error(F.concat(F.lit("name and header disagree: "), "name")).cast("boolean")))
-    names = [F.get(part, F.lit(k)).alias(c) for k, c in enumerate(("alg", "impl", "system"))]
-    return rows.select(*names, *(number(k).alias(c) for k, c in enumerate(SKETCH_FIELDS, 3)), *_times(SKETCH_TIMES))
-
-
-def parse_matmul_logs(logs: DataFrame) -> DataFrame:
-    """One row a log with a header; a header that contradicts the name is an error."""
-    logs = _held(logs)
-    part = F.split("name", "_")
-    number = lambda k: F.get(part, F.lit(k)).cast("int")
+def write_logs(logs: DataFrame, folder: str) -> int:
+    """Write each log (name, body) as a file of a folder that all tasks see; how many there are."""
+
+    def run(batches):
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(os.path.join(folder, name), "w") as f:
+                    f.write(body)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    os.makedirs(folder, exist_ok=True)
+    return logs.select("name", "body").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+NO_HEADER, DISAGREE = "no header", "name and header disagree"
+
+
+def _part(separator: str, k: int) -> Column:
+    """Field k of the name as a number; null where it is none."""
+    return F.get(F.split("name", separator), F.lit(k)).try_cast("int")
+
+
+def sketch_reason() -> Column:
+    """Why a log of a sketch is not taken: null, NO_HEADER or DISAGREE."""
+    head = [F.regexp_extract("body", SKETCH_HEADER, k).try_cast("int") for k in (1, 2, 3)]
+    agree = (head[0] == _part(r"[_.x]+", 6)) & (head[1] == _part(r"[_.x]+", 6)) & (head[2] == _part(r"[_.x]+", 7))
+    return _reason(SKETCH_HEADER, agree)
+
+
+def matmul_reason() -> Column:
+    """Why a log of a product is not taken: null, NO_HEADER or DISAGREE."""
+    head = [F.regexp_extract("body", MATMUL_HEADER, k).try_cast("int") for k in range(2, 6)]
+    agree = (head[0] == _part("_", 6)) & (head[1] == _part("_", 7)) & (head[2] == _part("_", 7)) & (head[3] == _part("_", 8))
+    return _reason(MATMUL_HEADER, agree)
+
+
+def _reason(header: str, agree: Column) -> Column:
+    found = F.regexp_extract(F.coalesce("body", F.lit("")), header, 0) != ""
+    return F.when(~found, NO_HEADER).when(~F.coalesce(agree, F.lit(False)), DISAGREE)
+
+
+def rejects(logs: DataFrame, reason: Column) -> DataFrame:
+    """(name, reason) of the logs that are not taken."""
+    return _held(logs).select("name", reason.alias("reason")).where("reason is not null")
+
+
+def _taken(logs: DataFrame, reason: Column, strict: bool) -> DataFrame:
+    """Logs with a header; one that contradicts its name is an error, or is left out too."""
+    logs = _held(logs).withColumn("__reason", reason).where(F.col("__reason").isNull() | (F.col("__reason") == DISAGREE))
+    error = F.raise_error(F.concat(F.lit(f"{DISAGREE}: "), "name")).cast("boolean") if strict else F.lit(False)
+    return logs.where(F.when(F.col("__reason").isNull(), True).otherwise(error)).drop("__reason")
+
+
+def parse_sketch_logs(logs: DataFrame, strict: bool = True) -> DataFrame:
+    """One row a log with a header; a header that contradicts the name is an error, or such a log
+    is left out if not strict. `rejects` tells what was left out."""
+    rows = _taken(logs, sketch_reason(), strict)
+    names = [F.get(F.split("name", r"[_.x]+"), F.lit(k)).alias(c) for k, c in enumerate(("alg", "impl", "system"))]
+    return rows.select(*names, *(_part(r"[_.x]+", k).alias(c) for k, c in enumerate(SKETCH_FIELDS, 3)), *_times(SKETCH_TIMES))
+
+
+def parse_matmul_logs(logs: DataFrame, strict: bool = True) -> DataFrame:
+    """As parse_sketch_logs, of logs of products."""
+    rows = _taken(logs, matmul_reason(), strict)
+    names = [F.get(F.split("name", "_"), F.lit(k)).alias(c) for k, c in enumerate(("alg", "impl", "system"))]
+    names += [_part("_", k).alias(c) for k, c in enumerate(("nnode", "nproc", "thread_per_proc"), 3)]
     head = [F.regexp_extract("body", MATMUL_HEADER, k).try_cast("int") for k in range(2, 9)]
-    rows = logs.where(F.regexp_extract("body", MATMUL_HEADER, 0) != "")
-    agree = (head[0] == number(6)) & (head[1] == number(7)) & (head[2] == number(7)) & (head[3] == number(8))
-    rows = rows.where(F.when(agree, True).otherwise(F.raise_error(F.concat(F.lit("name and header disagree: "), "name")).cast("boolean")))
-    names = [F.get(part, F.lit(k)).alias(c) for k, c in enumerate(("alg", "impl", "system"))]
-    names += [number(k).alias(c) for k, c in enumerate(("nnode", "nproc", "thread_per_proc"), 3)]
     sizes = [h.alias(c) for h, c in zip(head, ("a_rows", "a_cols", "b_rows", "b_cols", "p1", "p2", "p3"))]
     return rows.select(*names, *sizes, *_times(MATMUL_TIMES), F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
 
