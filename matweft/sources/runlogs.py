@@ -37,9 +37,9 @@ TIME = r":\s*([\d.]+) sec"
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(name, body, modified) of the files of a folder, empty ones too."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("body"), F.col("modificationTime").alias("modified"))
+    """(name, body, modified) of the files of a folder; Spark's scans leave out files of no bytes."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
 def _times(labels: dict[str, str]) -> list[Column]:

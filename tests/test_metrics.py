@@ -24,7 +24,7 @@ def test_metrics_of_a_sketch(spark):
 
 
 def test_logs_that_are_left_out(spark, tmp_path):
-    logs = [(NAME.format(50, 5), BODY.format(50, 5)), (NAME.format(51, 5), "srun: error"), (NAME.format(52, 5), ""), (NAME.format(53, 5), BODY.format(53, 6)), ("short", BODY.format(50, 5)), (NAME.format(54, "none"), BODY.format(54, 5)), (NAME.format(55, 5), BODY.format("9" * 30, 5))]
+    logs = [(NAME.format(50, 5), BODY.format(50, 5)), (NAME.format(51, 5), "srun: error"), (NAME.format(52, 5), "\n"), (NAME.format(53, 5), BODY.format(53, 6)), ("short", BODY.format(50, 5)), (NAME.format(54, "none"), BODY.format(54, 5)), (NAME.format(55, 5), BODY.format("9" * 30, 5))]
     assert runlogs.write_logs(spark.createDataFrame(logs, "name string, body string").repartition(3), str(tmp_path / "logs")) == 7
     read = runlogs.read_logs(spark, str(tmp_path / "logs"))
     left = {r.name: r.reason for r in runlogs.rejects(read, runlogs.sketch_reason()).collect()}
