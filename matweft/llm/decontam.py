@@ -2,9 +2,10 @@
 
 The training documents are indexed in segments of a bounded number of words: for every
 term of a segment the increasing positions where it stands. A search takes the phrases of
-the test set in blocks, fetches the postings of their terms by a join on the term, and in
-each segment intersects the offset-adjusted lists of a phrase, rarest first, leaving it as
-soon as nothing is left. Documents are kept apart by a gap in the positions.
+the test set in blocks, sends each by a join on the term of it that the fewest segments hold to
+just these segments, and fetches the postings of the terms by another. In a segment it
+intersects the offset-adjusted lists of a phrase, rarest first, leaving it as soon as nothing
+is left. Documents are kept apart by a gap in the positions.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SEGMENT_WORDS = 4_000_000
 BLOCK_PHRASES = 20_000
 #: Up to so many distinct test terms are broadcast (some 10 MB); more are joined by shuffle.
 BROADCAST_TERMS = 200_000
+#: Up to so many phrases are broadcast to where their terms stand; more are joined by shuffle.
+BROADCAST_PHRASES = 50_000
 
 _KEEP = [c for c in range(256) if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80]
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 for c in range(256))
@@ -144,24 +147,44 @@ def intersect(lists: list, slop: int = 0, ends: np.ndarray | None = None) -> tup
     return low, high
 
 
+def routes(held: DataFrame, wanted: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows (seg, block, terms, items): each phrase of wanted (terms, items, block) once for each
+    segment that holds the term of it which the fewest segments hold (ties: the smallest).
+
+    held has the distinct (seg, term) of the terms of wanted. A phrase with a term that no segment
+    holds goes nowhere. Up to `most` phrases (BROADCAST_PHRASES) are broadcast.
+    """
+    spread = held.groupBy("term").agg(F.count("*").alias("n"))
+    each = wanted.select("terms", "items", "block", F.explode(F.array_distinct("terms")).alias("term")).join(spread, "term", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("rarest")
+    keyed = staged(each.groupBy("terms", "items", "block").agg(rarest).where("rarest.n > 0").select("terms", "items", "block", F.col("rarest.term").alias("rare")), "phrase_routes")
+    if keyed.count() <= (BROADCAST_PHRASES if most is None else most):
+        keyed = F.broadcast(keyed)
+    return held.join(keyed, F.col("term") == F.col("rare")).select("seg", "block", "terms", "items")
+
+
 def search(index: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
     """Rows (segment, nth, hit, items): for the nth document of a segment the word positions
     inside matches, and the items whose windows match, a row for each block of phrases.
 
     wanted has the rows of phrases(). With slop 0 matches are exact phrases, else proximity
-    matches inside a document.
+    matches inside a document. The visits of phrases to segments are as many as the segments
+    that hold their rarest terms.
     """
     wanted = staged(wanted, "phrases")
     blocks = max(1, -(-wanted.count() // BLOCK_PHRASES))
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("terms"), F.lit(blocks)).cast("int"))
     terms = staged(wanted.select(F.col("block").alias("blk"), F.explode("terms").alias("term")).distinct(), "phrase_terms")
+    alone = terms.select("term").distinct()
     if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
+        terms, alone = F.broadcast(terms), F.broadcast(alone)
     # renamed keys: both sides come from the same staged table
-    lists = index.where("term is not null").select(F.col("segment").alias("seg"), "term", "positions").join(terms, "term")
-    sets = wanted.groupBy("block").agg(F.collect_list(F.struct("terms", "items")).alias("phrases"))
-    segments = index.where("term is null").select("segment", "lengths", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = segments.join(sets, "block").select("segment", "block", "lengths", "phrases")
+    postings = index.where("term is not null").select(F.col("segment").alias("seg"), "term", "positions")
+    lists = postings.join(terms, "term")
+    held = staged(postings.select("seg", "term").join(alone, "term"), "phrase_segments")
+    sets = routes(held, wanted).groupBy("seg", "block").agg(F.collect_list(F.struct("terms", "items")).alias("phrases"))
+    segments = index.where("term is null").select("segment", "lengths")
+    asked = segments.join(sets, F.col("segment") == F.col("seg")).select("segment", "block", "lengths", "phrases")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"segment": [], "nth": [], "hit": [], "items": []}

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from matweft.llm import decontam
 from tests.llm.helpers import docs
@@ -37,7 +38,8 @@ def items_df(spark, items):
 
 def test_matches_brute_force(spark, tiny, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_PHRASES", 100)  # several blocks
-    monkeypatch.setattr(decontam, "BROADCAST_TERMS", 0)  # the way beyond the broadcast
+    monkeypatch.setattr(decontam, "BROADCAST_TERMS", 0)  # the ways beyond the broadcasts
+    monkeypatch.setattr(decontam, "BROADCAST_PHRASES", 0)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
     items += [(900, "Short Item"), (901, "short item"), (902, "..."), (None, "a b c"), (903, None), (900, "Short Item"), (904, "ä ö ü x x x x x x x x x")]
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
@@ -73,3 +75,34 @@ def test_proximity_stays_inside_documents(spark):
     for some in (rows[:1], rows):
         got = {r.doc_id: r.n_hit for r in decontam.contamination(docs(spark, some), items, slop=4).collect()}
         assert got[1] == 4 and not any(n for i, n in got.items() if i != 1)
+
+
+def test_phrases_visit_segments_with_their_rarest_term_only(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) if x < 5000)) for k in range(60)]
+    index = decontam.build_index(docs(spark, rows), segment_words=150)
+    items = [(k, " ".join(rows[k][1].split()[5:12])) for k in range(0, 60, 3)] + [(90, "w1 nowhere w2"), (91, "w1 w2")]
+    wanted = decontam.phrases(items_df(spark, items), 4).withColumn("block", F.lit(0))
+    held = index.where("term is not null").select(F.col("segment").alias("seg"), "term")
+    where: dict = {}
+    for r in held.collect():
+        where.setdefault(bytes(r.term), set()).add(r.seg)
+    want = {}
+    for r in wanted.collect():
+        terms = tuple(bytes(t) for t in r.terms)
+        for seg in where.get(min(terms, key=lambda t: (len(where.get(t, ())), t)), ()):
+            want[seg, terms] = sorted(r["items"])
+    for most in (0, 10**6):
+        got = decontam.routes(held, wanted, most).collect()
+        assert len(got) == len(want) and {(r.seg, tuple(bytes(t) for t in r.terms)): sorted(r["items"]) for r in got} == want
+    assert 0 < len(want) < wanted.count() * len({s for v in where.values() for s in v}) / 2
+    got = decontam.contamination(docs(spark, rows), items_df(spark, items), 4).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=str) == brute(rows, items, 4)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"a{k}" for k in range(150_000))
+    rows = [(1, long + " the planted words stand here at last"), (2, "planted " + long), (3, "x " * 200_000)]
+    items = [(7, "The planted words, stand here"), (8, "x x x x x x x x x x x x")]
+    got = decontam.contamination(docs(spark, rows), items_df(spark, items)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == [(1, 150_007, 5, ["7"]), (2, 150_001, 0, []), (3, 200_000, 200_000, ["8"])]
