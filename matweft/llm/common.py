@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Writes made inside leave no shuffle files behind: once a table stands, nothing reads them.
+
+    Else they stay until the driver happens to collect garbage, and a chain of staged tables
+    holds the shuffles of all its steps on disk. The setting is put back, since a frame that the
+    caller holds may be run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Cuts the lineage at a place every executor can read, so that a lost executor costs
-    only the tasks it ran, and so that a plan used twice is computed once.
+    only the tasks it ran, and so that a plan used twice is computed once. The shuffles of the
+    write are removed with its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
