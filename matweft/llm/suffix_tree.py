@@ -22,6 +22,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -136,12 +137,17 @@ def unpacked(cells: pa.ChunkedArray, dtype) -> np.ndarray:
 
 
 def look_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray, missing: int) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(want), missing, np.int64)
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-    return np.where(keys[at] == want, values[at], missing)
+    """Values of the keys wanted; no key stands twice."""
+    at = pd.Index(keys).get_indexer(want)
+    return np.where(at >= 0, np.append(values, 0)[at], missing)
+
+
+def grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes, the place of one of each, and the group of every place."""
+    which, distinct = pd.factorize(codes)
+    place = np.zeros(len(distinct), np.int64)
+    place[which[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return distinct, place, which
 
 
 class Segment:
@@ -235,9 +241,9 @@ def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least:
     def earlier(s: Segment) -> np.ndarray:
         """Sums for contexts of one token: each run counts in one of its segments."""
         at = s.at[1]
-        code, first, which = np.unique(s.codes[1][at], return_index=True, return_inverse=True)
+        code, first, which = grouped(s.codes[1][at])
         n, total, place = np.bincount(which, s.learned[at], minlength=len(code)), s.counts[1][at[first]], at[first]
-        use = np.isin(code, s.told.get(1, code[:0])) | ((total == 0) & (n == 1))  # without a total it was seen here only
+        use = (pd.Index(s.told.get(1, code[:0])).get_indexer(code) >= 0) | ((total == 0) & (n == 1))  # without a total it was seen here only
         place, seen = place[use], np.maximum(total[use], 1)
         n_ctx, n_run = s.counts[0][place - 1], s.counts[0][place]
         share = np.where(n_run < least, 0, n_run / max(train, 1))
@@ -257,7 +263,7 @@ def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least:
         if depth > 1:  # a run is as rare as the run without its first token: others are no cell, nor seen twice
             use = (n_run >= 2) | (expected >= 1)
             at, n_ctx, expected = at[use], n_ctx[use], expected[use]
-        code, first, which = np.unique(s.codes[depth][at], return_index=True, return_inverse=True)
+        code, first, which = grouped(s.codes[depth][at])
         n = np.bincount(which, s.learned[at], minlength=len(code)).astype(np.int64)
         ctx, n_ctx, expected = s.codes[depth - 1][at[first] - 1], n_ctx[first], expected[first]
         bucket = ((code.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -273,24 +279,22 @@ def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least:
     def total(table: pa.Table) -> pa.Table:
         code, n, ctx, length, n_ctx, expected = (unpacked(table.column(c), t) for c, t in _RUNS.items())
         row = np.repeat(np.arange(len(table)), [len(c) // 8 for c in table.column("code").to_pylist()])
-        order = np.argsort(code, kind="stable")
-        starts = _starts(code[order])
-        totals = np.add.reduceat(n[order], starts) if len(starts) else n
+        distinct, place, which = grouped(code)
+        totals = np.bincount(which, n, len(distinct)).astype(np.int64)  # exact below 2^53
         out = []
         for cell in table.column("sums").drop_null().to_pylist():
             whole = unpacked(pa.chunked_array([[cell]], pa.binary()), np.int64).reshape(1 + len(_STATS), -1)
             out.append(pa.table({"depth": np.full(whole.shape[1], depth - 1), **{c: x.view(schema.field(c).type.to_pandas_dtype()) for c, x in zip(("ctx", *_STATS), whole)}}))
         if not alone:  # one row of each run is for the sums over contexts
-            one, seen = order[starts][totals > 0], totals[totals > 0]
+            one, seen = place[totals > 0], totals[totals > 0]
             sums = context_sums(np.repeat(ctx, length)[one], np.repeat(n_ctx, length)[one], seen, expected[one])
             out.append(pa.table({"depth": np.full(len(sums["ctx"]), depth), **sums}))
         # the rest goes back to the segments, by code
         first = np.zeros(len(code), np.int64)
-        first[starts] = 1
-        totals = np.repeat(totals, np.diff(np.append(starts, len(code))))
-        order, first, totals = (x[totals >= 2] for x in (order, first, totals))
-        by_row = np.argsort(row[order], kind="stable")
-        order, first, totals = (x[by_row] for x in (order, first, totals))
+        first[place] = 1
+        order = np.flatnonzero((totals >= 2)[which])
+        order = order[np.lexsort((code[order], row[order]))]
+        first, totals = first[order], totals[which[order]]
         segments = table.column("segment").to_numpy()
         often = totals >= least
         out.append(pa.table({"segment": segments[row[order[often]]], "code": code[order[often]], "total": totals[often]}))
