@@ -158,7 +158,8 @@ class Segment:
     hold themselves (kind -d). Rows of runs may hold many, packed in keys and values; a value is
     then twice the number, and 1 more in one of the segments that have the run (told).
     At each place of at[d] a context of d tokens that is a candidate ends just before it;
-    codes[d] and counts[d] are those of that context and the token there.
+    codes[d] and counts[d] are those of that context and the token there. Of the longest,
+    last_codes and last_counts hold them for the places of at[depth] only.
     """
 
     def __init__(self, left: pa.Table, side: pa.Table, depth: int, least: int):
@@ -170,7 +171,7 @@ class Segment:
         tokens = np.zeros(lengths.sum(), np.int32)
         for start, text in zip(self.starts, texts):
             tokens[start + 1 : start + 1 + len(text)] = text
-        self.offset = np.arange(len(tokens)) - np.repeat(self.starts, lengths)
+        self.offset = (np.arange(len(tokens)) - np.repeat(self.starts, lengths)).astype(np.int32)
         self.learned = np.repeat(~self.docs.column("held_out").to_numpy(zero_copy_only=False).astype(bool), lengths)
         self.hashes = hashes[0][tokens]
         self.side, self.told = {}, {}
@@ -184,17 +185,21 @@ class Segment:
         nth, n = self.known(0)
         of_word[nth] = n
         self.codes, self.counts = [self.hashes], [of_word[tokens]]
-        self.at = [np.flatnonzero(self.offset > 0)]
+        self.at = [np.flatnonzero(self.offset > 0).astype(np.int32)]
         for d in range(1, depth + 1):
             at = self.at[-1]
             at = at[self.offset[at] >= d]
             at = at[self.counts[-1][at - 1] >= least]
-            code, count = np.zeros_like(self.hashes), np.zeros_like(self.hashes)
-            code[at] = extend(self.codes[-1][at - 1], self.hashes[at])
-            count[at] = look_up(*self.known(d), code[at], 0)
+            code = extend(self.codes[-1][at - 1], self.hashes[at])
+            count = look_up(*self.known(d), code, 0)
+            self.side.pop(d, None)
             self.at.append(at)
-            self.codes.append(code)
-            self.counts.append(count)
+            if d == depth:
+                self.last_codes, self.last_counts = code, count
+                break
+            for kept, found in ((self.codes, code), (self.counts, count)):
+                kept.append(np.zeros_like(self.hashes))
+                kept[-1][at] = found
 
     def known(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         return self.side.get(kind, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
@@ -254,7 +259,7 @@ def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least:
         s, segment, rows = Segment(left, right, depth, least), left.column("segment")[0].as_py(), []
         if depth == 2:
             rows.append({"bucket": segment % buckets, "sums": packed(earlier(s)), **dict.fromkeys(_RUNS, b"")})
-        at = s.at[depth]
+        at, codes = s.at[depth], s.last_codes
         n_ctx, n_run = s.counts[depth - 1][at - 1], s.counts[depth - 1][at]
         share = n_run / (train if depth == 1 else s.counts[depth - 2][at - 1])
         if depth == 1:
@@ -262,8 +267,8 @@ def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least:
         expected = (n_ctx * share).astype(np.float32)
         if depth > 1:  # a run is as rare as the run without its first token: others are no cell, nor seen twice
             use = (n_run >= 2) | (expected >= 1)
-            at, n_ctx, expected = at[use], n_ctx[use], expected[use]
-        code, first, which = grouped(s.codes[depth][at])
+            at, codes, n_ctx, expected = at[use], codes[use], n_ctx[use], expected[use]
+        code, first, which = grouped(codes)
         n = np.bincount(which, s.learned[at], minlength=len(code)).astype(np.int64)
         ctx, n_ctx, expected = s.codes[depth - 1][at[first] - 1], n_ctx[first], expected[first]
         bucket = ((code.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -376,9 +381,10 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least
         for d in range(1, depth + 1):
             at = s.at[d]
             held = look_up(*s.known(-d), s.codes[d - 1][at - 1], -1)
-            at, held = at[held >= 0], held[held >= 0]
+            n_run = s.last_counts if d == depth else s.counts[d][at]
+            at, n_run, held = at[held >= 0], n_run[held >= 0], held[held >= 0]
             n_ctx = s.counts[d - 1][at - 1]
-            p[at] = (s.counts[d][at] + (n_ctx - held + PRIOR) * p[at]) / (n_ctx + PRIOR)
+            p[at] = (n_run + (n_ctx - held + PRIOR) * p[at]) / (n_ctx + PRIOR)
             inside[at] = 1
         token = s.offset > 0
         summed = lambda x: np.add.reduceat(np.where(token, x, 0), s.starts) if len(s.starts) else np.zeros(0, x.dtype)
