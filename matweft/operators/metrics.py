@@ -6,14 +6,14 @@ import time
 
 from pyspark import TaskContext
 from pyspark.accumulators import AccumulatorParam
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from matweft.functions import SEED
 from matweft.session import staged
 
 from .kernels import BLOCK
-from .sketch import STRATEGIES, sketch_parts
+from .sketch import STRATEGIES, _Draws, _sum_panels, kernel_products, sketch_parts
 
 METRICS = "phase_no int, phase string, n_rows long, n_numbers long, seconds double, n_tasks int, min_task_seconds double, max_task_seconds double, max_task_rows long"
 
@@ -36,7 +36,8 @@ class Run:
     def __init__(self, spark: SparkSession):
         self.spark, self.rows = spark, []
 
-    def phase(self, name: str, df: DataFrame) -> DataFrame:
+    def phase(self, name: str, df: DataFrame, rows: Column | None = None, numbers: Column | None = None) -> DataFrame:
+        """rows and numbers: aggregates to be told in place of df's rows and their numbers."""
         seen, tasks = Observation(), self.spark.sparkContext.accumulator([], _Lists())
 
         def timed(batches):
@@ -46,8 +47,9 @@ class Run:
                 yield batch
             tasks.add([(TaskContext.get().partitionId(), n, time.monotonic() - began)])
 
-        numbers = F.size("data").cast("long") if "data" in df.columns else F.lit(0).cast("long")
-        counted = F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(numbers), F.lit(0).cast("long")).alias("n_numbers")
+        if numbers is None:
+            numbers = F.sum(F.size("data").cast("long") if "data" in df.columns else F.lit(0).cast("long"))
+        counted = [F.coalesce(c, F.lit(0).cast("long")).alias(k) for c, k in ((F.count(F.lit(1)) if rows is None else rows, "n_rows"), (numbers, "n_numbers"))]
         observed = df.mapInArrow(timed, df.schema).observe(seen, *counted)
         began = time.monotonic()
         out = staged(observed, "phase")
@@ -74,3 +76,14 @@ def measured_sketch(blocks: DataFrame, n: int, rank: int, strategy: str = "n4",
     panels = run.phase("panels", sketch_parts(a, n, rank, strategy, size, seed)[0])
     tiles = run.phase("tiles", sketch_parts(a, n, rank, strategy, size, seed, panels=panels)[1])
     return panels, tiles, run.table()
+
+
+def measured_kernel_sketch(rows: DataFrame, n: int, rank: int, size: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """measured_sketch of X Xᵀ by n4, for rows of X with ids 0..n-1. The phase of the matrix makes
+    its blocks and multiplies each where it is made: it tells the blocks and their numbers, and
+    keeps their products only."""
+    run, draws = Run(rows.sparkSession), _Draws(rank, seed, False, None)
+    products = run.phase("matrix", kernel_products(rows, n, draws, size=size), F.sum("n_blocks"), F.sum("n_numbers"))
+    panels = run.phase("panels", _sum_panels(products, draws))
+    tiles = run.phase("tiles", sketch_parts(panels, n, rank, "n4", size, seed, panels=panels)[1])
+    return panels, tiles, run.table()
