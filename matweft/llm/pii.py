@@ -23,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Candidates that training may use; chosen by a hash of document and place.
-MAX_TRAIN = 20_000
+#: Tasks that the candidates are dealt to in training, each of which sends its sums to the driver.
+PARTS = 64
+#: Gradients are summed as whole numbers of 1 / UNIT, scores for thresholds counted in 1 / STEPS.
+UNIT, STEPS = 1 << 24, 10_000
 TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 32
 #: Precision that a kind's threshold must reach on the rows left out.
 PRECISION = 0.98
@@ -185,50 +189,68 @@ class Boosted:
     def fit(cls, x: np.ndarray, y: np.ndarray) -> Boosted:
         cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
         b = cls._bin(cuts, x)
-        rate = (y.sum() + 1) / (len(y) + 2)
-        start = float(np.log(rate / (1 - rate)))
-        raw, trees = np.full(len(y), start), []
+        return cls.grow(cuts, float(y.sum()), len(y), lambda model, splits: model.histograms(b, y, splits))
+
+    @classmethod
+    def grow(cls, cuts, right: float, count: int, histograms) -> Boosted:
+        """Trees by histograms(model so far, splits of the tree that grows): for each leaf, feature
+        and bin the sums of gradients and of second derivatives, as `histograms` gives them."""
+        rate = (right + 1) / (count + 2)
+        model = cls(cuts, [], float(np.log(rate / (1 - rate))))
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-raw))
-            grad, hess = y - p, p * (1 - p)
-            node, splits = np.zeros(len(y), int), []
+            splits, value = [], []
             for _ in range(DEPTH):
-                level = []
-                for leaf in range(2 ** len(splits)):
-                    rows = np.flatnonzero(node == leaf)
-                    level.append(cls._best(b[rows], grad[rows], hess[rows]))
-                splits.append(level)
-                f, c = np.array([s[0] for s in level])[node], np.array([s[1] for s in level])[node]
-                node = node * 2 + (b[np.arange(len(y)), f] > c)
-            g, h = np.bincount(node, grad, 2**DEPTH), np.bincount(node, hess, 2**DEPTH)
-            value = RATE * g / (h + 1.0)
-            raw += value[node]
-            trees.append((splits, value.tolist()))
-        return cls(cuts, trees, start)
+                sums = histograms(model, splits) / UNIT
+                splits.append([cls._best(leaf) for leaf in sums])
+                # of the last splits, what is left and right of them are the leaves
+                value = []
+                for leaf, (f, c) in zip(sums, splits[-1]):
+                    for side in (leaf[f, : c + 1].sum(0), leaf[f, c + 1 :].sum(0)):
+                        value.append(float(RATE * side[0] / (side[1] + 1.0)))
+            model.trees.append((splits, value))
+        return model
+
+    def histograms(self, b: np.ndarray, y: np.ndarray, splits) -> np.ndarray:
+        """Sums by leaf, feature and bin of the binned rows b, in units of 1 / UNIT: whole numbers,
+        which give the same sum in any order."""
+        p = 1 / (1 + np.exp(-self.raw(b)))
+        g, h = np.rint((y - p) * UNIT), np.rint(p * (1 - p) * UNIT)
+        node, leaves = self._node(b, splits), 2 ** len(splits)
+        out = np.zeros((leaves, b.shape[1], BINS + 1, 2), np.int64)
+        for k in range(b.shape[1]):
+            at = node * (BINS + 1) + b[:, k]
+            for m, weight in enumerate((g, h)):
+                out[:, k, :, m] = np.bincount(at, weight, leaves * (BINS + 1)).reshape(leaves, -1)
+        return out
 
     @staticmethod
-    def _best(b, grad, hess):
+    def _best(sums: np.ndarray) -> tuple[int, int]:
+        """(feature, bin) of the split of a leaf that gains most; rows up to the bin go left."""
         best = (0.0, 0, BINS + 1)
-        total_g, total_h = grad.sum(), hess.sum()
-        for k in range(b.shape[1]):
-            g = np.cumsum(np.bincount(b[:, k], grad, BINS + 1))
-            h = np.cumsum(np.bincount(b[:, k], hess, BINS + 1))
+        for k, of in enumerate(sums):
+            (g, h), (total_g, total_h) = np.cumsum(of, 0).T, of.sum(0)
             gain = g**2 / (h + 1) + (total_g - g) ** 2 / (total_h - h + 1) - total_g**2 / (total_h + 1)
             c = int(np.argmax(gain))
             if gain[c] > best[0] + 1e-9:
                 best = (float(gain[c]), k, c)
         return best[1], best[2]
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        b = self._bin(self.cuts, x)
+    @staticmethod
+    def _node(b: np.ndarray, splits) -> np.ndarray:
+        node = np.zeros(len(b), int)
+        for level in splits:
+            f, c = np.array([s[0] for s in level])[node], np.array([s[1] for s in level])[node]
+            node = node * 2 + (b[np.arange(len(b)), f] > c)
+        return node
+
+    def raw(self, b: np.ndarray) -> np.ndarray:
         raw = np.full(len(b), self.start)
         for splits, value in self.trees:
-            node = np.zeros(len(b), int)
-            for level in splits:
-                f, c = np.array([s[0] for s in level])[node], np.array([s[1] for s in level])[node]
-                node = node * 2 + (b[np.arange(len(b)), f] > c)
-            raw += np.array(value)[node]
-        return 1 / (1 + np.exp(-raw))
+            raw += np.array(value)[self._node(b, splits)]
+        return raw
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.raw(self._bin(self.cuts, x))))
 
     def dump(self, thresholds: list[float]) -> str:
         return json.dumps({"cuts": [c.tolist() for c in self.cuts], "trees": self.trees, "start": self.start, "thresholds": thresholds})
@@ -256,13 +278,43 @@ def fit_model(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> str:
     return model.dump(thresholds)
 
 
-def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> str | None:
-    """The trained model as JSON; None if no document has a candidate."""
+def _coarse(x: np.ndarray) -> np.ndarray:
+    """Numbers to three digits, so that few differ: places where bins may end."""
+    with np.errstate(divide="ignore"):
+        unit = 10.0 ** (np.floor(np.log10(np.where(x == 0, 1, np.abs(x)))) - 2)
+    return np.rint(x / unit) * unit
+
+
+def _cuts(rows: DataFrame) -> list[np.ndarray]:
+    """Ends of the bins of each feature: quantiles of all rows, by counts of coarse numbers."""
+
+    def count(batches):
+        for batch in batches:
+            x = _coarse(np.array(batch.column(0).values).reshape(len(batch), -1))
+            for k in range(x.shape[1] if len(batch) else 0):
+                v, n = np.unique(x[:, k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k), pa.int32()), pa.array(v), pa.array(n, pa.int64())], names=["k", "v", "n"])
+
+    counts = rows.select("x").mapInArrow(count, "k int, v double, n long").groupBy("k", "v").agg(F.sum("n").alias("n"))
+    table = counts.toPandas()  # at most some thousand numbers a feature
+    cuts = []
+    for _, of in table.sort_values(["k", "v"]).groupby("k"):
+        done = of.n.cumsum().to_numpy() / of.n.sum()
+        at = np.searchsorted(done, np.linspace(0, 1, BINS + 1)[1:-1])
+        cuts.append(np.unique(of.v.to_numpy()[at]))
+    return cuts
+
+
+def fit(docs: DataFrame) -> str | None:
+    """The model as JSON, trained on all candidates of all documents; None if there is none.
+
+    Each level of a tree is a pass over the binned candidates: tasks sum gradients by leaf, feature
+    and bin, and the driver picks splits from these sums, whose size is fixed."""
     slim = docs.select("doc_id", "text")
 
     def label(batches):
         for batch in batches:
-            rows, where, good = [], [], []
+            fold, rows, good = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 if _ANY.search(text):
@@ -272,19 +324,61 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> str | None:
                     base = set(base)
                     for s in candidates(text):
                         rows.append(features(text, *s))
-                        where.append(f"{doc}:{s[2]}:{s[0]}:{s[1]}")
+                        fold.append(salt // 2 % 5)
                         good.append(int(s in base or s[2] == "secret" and is_assigned_secret(text, s[0], s[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.string()), pa.array(rows, pa.list_(pa.float64())), pa.array(good, pa.int32())], names=["place", "x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int32()), pa.array(rows, pa.list_(pa.float64())), pa.array(good, pa.int32())], names=["fold", "x", "y"])
+
+    every = staged(slim.mapInArrow(label, "fold int, x array<double>, y int"), "pii_candidates")
+    # with nothing left after fold 0, that is learned from
+    learned = every.where("fold > 0")
+    if learned.isEmpty():
+        learned = every
+    cuts = _cuts(learned)
+    if not cuts:
+        return None
+
+    def binned(batches):
+        for batch in batches:
+            if len(batch):
+                b = Boosted._bin(cuts, np.array(batch.column(0).values).reshape(len(batch), -1)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes()]), pa.array([np.array(batch.column(1)).astype(np.uint8).tobytes()])], names=["b", "y"])
+
+    chunks = staged(learned.select("x", "y").coalesce(PARTS).mapInArrow(binned, "b binary, y binary"), "pii_bins")
+    totals = learned.agg(F.sum("y"), F.count("*")).first()
 
-    def learn(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("place").to_pylist(), table.column("x").to_pylist(), table.column("y").to_pylist()))
-        x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], dtype=float)
-        fold = np.array([zlib.crc32(r[0].rsplit(":", 3)[0].encode()) // 2 % 5 for r in rows])
-        return pa.table({"model": [fit_model(x, y, fold)]})
+    def histograms(model: Boosted, splits) -> np.ndarray:
+        def sums(batches):
+            total = 0
+            for batch in batches:
+                for b, y in zip(*batch.columns):
+                    b = np.frombuffer(b.as_py(), np.uint8).reshape(-1, len(cuts))
+                    total = total + model.histograms(b.astype(int), np.frombuffer(y.as_py(), np.uint8).astype(float), splits)
+            if not isinstance(total, int):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
 
-    rows = slim.mapInArrow(label, "place string, x array<double>, y int").orderBy(F.xxhash64("place"), "place").limit(max_train)
-    got = rows.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "model string").first()
-    return got.model if got else None
+        parts = chunks.mapInArrow(sums, "sums binary").collect()
+        return sum(np.frombuffer(r.sums, np.int64) for r in parts).reshape(2 ** len(splits), len(cuts), BINS + 1, 2)
+
+    model = Boosted.grow(cuts, float(totals[0]), totals[1], histograms)
+
+    def scored(batches):
+        for batch in batches:
+            if len(batch):
+                x = np.array(batch.column(0).values).reshape(len(batch), -1)
+                kind, at = x[:, : len(KINDS)].argmax(1), np.floor(model.predict(x) * STEPS)
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int32()), batch.column(1)], names=["kind", "at", "y"])
+
+    scores = every.where("fold = 0").select("x", "y").mapInArrow(scored, "kind int, at int, y int")
+    table = scores.groupBy("kind", "at").agg(F.sum("y").alias("good"), F.count("*").alias("n")).toPandas()  # at most STEPS + 1 a kind
+    thresholds = []
+    for k in range(len(KINDS)):
+        mine = table[table.kind == k].sort_values("at", ascending=False)
+        good = np.flatnonzero((mine.good.cumsum() / mine.n.cumsum()).to_numpy() >= PRECISION)
+        # nothing to calibrate on, or never precise enough: only the strict rules count
+        # else half way between the last score that is precise enough and the next
+        ranked = np.append(mine["at"].to_numpy(), 0) / STEPS
+        thresholds.append(max(0.5, float(ranked[good[-1] : good[-1] + 2].mean())) if len(good) else 2.0)
+    return model.dump(thresholds)
 
 
 def spans(docs: DataFrame, model: str | None) -> DataFrame:
