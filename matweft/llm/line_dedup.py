@@ -10,16 +10,13 @@ similarity 0.8 share a band with probability 0.994, of 0.9 with 0.9998.
 1. Of each band the least and the greatest line are found by an aggregate that combines
    early; bands of one line drop out. Every line of a band is compared with the least one by
    the exact Jaccard similarity of the shingle sets, and links feed a distributed union-find.
-2. Lines of bands that still hold several classes are searched by their rare parts. Their
-   shingles are counted, and fall into levels: had less than LEVEL times, less than LEVEL
-   squared, and so on. Each line gets FURTHER more signature values of its shingles of each
-   level, and each value is a group. What two lines share beyond a frame that many have is of
-   a lower level than the frame, so it is not drowned by it. In the lowest level, groups have
-   less than LEVEL lines; each line is compared with two of them, others for each group.
-   In the levels above, it is compared with the least and the greatest line that it meets in
-   at least MEETINGS groups of a level. Pairs that share too little, whichever of their
-   shingles are the same, are told by the numbers of their shingles of each kind of hash,
-   and go before their texts are fetched.
+2. All lines of a band that still holds several classes are compared, unless they are of one
+   class. In bands of up to WIDE lines, pairs are taken as they are. Wider bands are first
+   narrowed by rounds of comparisons with one more line of a band's largest class; their lines
+   are then joined by prefixes, which is exact: shingles are put in order, rarest first, and two
+   lines that are alike share one of the first fifth of the longer line and the first ninth of
+   the shorter. So every two lines that share a band are compared, or in one class already,
+   or shown to be less alike than the threshold.
 3. Of each class the line that stands first stays.
 
 Lines are told apart by a 64-bit hash: among 10^9 different lines, a chance of 3 % that any
@@ -40,8 +37,6 @@ from .common import connected_components, staged
 #: 50 MB each); more are joined by a shuffle.
 BROADCAST_BANDS = 1_000_000
 BROADCAST_PLACES = 1_000_000
-#: Up to so many profiles of lines are broadcast (some 50 MB).
-BROADCAST_PROFILES = 250_000
 #: Up to so many lines that have copies, and so many classes of them, are broadcast (some 50 MB).
 BROADCAST_KEPT = 1_000_000
 #: Up to so many removed lines, their places are broadcast to the documents (some 50 MB);
@@ -51,19 +46,14 @@ BROADCAST_REMOVED = 2_000_000
 GROUPS, GROUP = 3, 4
 #: Shingles hashed in one step of generated code.
 STRETCH = 8
-#: Further signature values, for each level, of lines that stand in a band with several classes.
-#: If two lines have a tenth of their shingles of a level in common, they share one with
-#: probability 0.97; with a sixth, 0.997.
-FURTHER = 32
-#: The counts of the shingles of a level are less than LEVEL times those of the level below.
-LEVEL = 32
-#: Groups above the lowest level in which two lines are to meet.
-MEETINGS = 3
-#: Kinds of shingles by their hash: what two lines have of each bounds what they share.
-KINDS = 16
+#: Lines of a band of which all pairs are compared as they are.
+WIDE = 64
+#: Rounds of comparisons with one more line of a wide band; they end when a round has brought
+#: less than a tenth of what was left into the bands' largest classes.
+ROUNDS = 12
 
 _rng = random.Random(20)
-ORDERS = [_rng.getrandbits(64) - (1 << 63) for _ in range(GROUPS * GROUP + FURTHER)]
+ORDERS = [_rng.getrandbits(64) - (1 << 63) for _ in range(GROUPS * GROUP)]
 
 
 def _few(df: DataFrame, bound: int, weight: Column | None = None) -> DataFrame:
@@ -113,7 +103,7 @@ def signatures(lines: DataFrame, shingle: int) -> DataFrame:
     two in a long."""
     count = GROUPS * GROUP
     values = [F.shiftleft(f"m{j}", 32).bitwiseOR(F.col(f"m{j + 1}")).alias(f"v{j // 2}") for j in range(0, count, 2)]
-    return least_values(lines, shingle, ORDERS[:count]).select("h", *values)
+    return least_values(lines, shingle, ORDERS).select("h", *values)
 
 
 def band_keys() -> Column:
@@ -162,78 +152,74 @@ def line_classes(lines: DataFrame, places: DataFrame, docs: DataFrame, shingle:
 
     stars = staged(members.where("low <> h").select(F.col("low").alias("a"), F.col("h").alias("b")).distinct(), "line_pairs")
     classes = staged(connected_components(linked(stars)), "line_stars")
-    in_class = members.join(classes, F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("component", "h").alias("c"))
-    in_class = staged(in_class, "line_inner", codec="snappy")
-    # of two lines one was compared with the other
-    open_ = in_class.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2")
-    unsettled = staged(in_class.join(_few(staged(open_.select("band"), "line_open"), BROADCAST_BANDS), "band").select("h", "c").distinct(), "line_unsettled")
-    if unsettled.isEmpty():
-        return classes
-    sets = _sets(texts.join(unsettled.select("h").distinct(), "h"), shingle)
-    met = _possible(_meetings(sets).join(stars, ["a", "b"], "left_anti"), sets, similarity)
-    links = staged(linked(_across(met, classes)), "line_links")
-    stars = classes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return connected_components(stars.unionByName(links))
-
-
-def _sets(lines: DataFrame, shingle: int) -> DataFrame:
-    """Rows (h, n, s) for the distinct lines of rows (h, line): the number of the line's different
-    shingles, and the upper 32 bits of their hashes."""
-    sets = _held(lines, ["h"], x=hashes("line", shingle))
-    upper = F.expr("array_distinct(transform(x, v -> cast(shiftright(v, 32) as int)))")
-    return staged(sets.select("h", F.size(F.array_distinct("x")).alias("n"), upper.alias("s")), "line_sets", codec="snappy")
-
-
-def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows (a, b) that can have this Jaccard similarity; none that has it is left out.
-
-    Two lines share no more shingles of a kind than either has of it. Shingles of one line that
-    are one in 32 bits are added to what may be shared."""
-    kind = F.col("g").bitwiseAND(F.lit(KINDS - 1))
-    numbers = (F.count_if(kind == k).cast("int").alias(f"c{k}") for k in range(KINDS))
-    profiles = sets.select("h", "n", F.explode("s").alias("g")).groupBy("h").agg(F.first("n").alias("n"), *numbers)
-    profiles = staged(profiles.select("h", "n", F.array(*(f"c{k}" for k in range(KINDS))).alias("c")), "line_profiles", codec="snappy")
-    profiles = _few(profiles, BROADCAST_PROFILES)
-    for x in "ab":
-        pairs = pairs.join(profiles.select(F.col("h").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")), x)
-    both = sum((F.least(F.col("c_a")[k], F.col("c_b")[k]) - F.col("c_a")[k] for k in range(KINDS)), F.col("n_a"))
-    return pairs.where(both * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b")
-
-
-def _level_values(sets: DataFrame) -> DataFrame:
-    """Rows (h, level, m0, m1, ...) for rows (h, s): the least values of the line's shingles of
-    each level. Shingles go by the upper 32 bits of their hashes."""
-    rows = sets.select("h", F.explode("s").alias("g"))
-    frequent = rows.groupBy("g").count().where(F.col("count") >= LEVEL)
-    level = F.floor(F.log(F.col("count") + 0.5) / F.log(F.lit(float(LEVEL)))).cast("int")
-    frequent = _few(staged(frequent.select("g", level.alias("level")), "line_frequent"), BROADCAST_PLACES)
-    rows = rows.join(frequent, "g", "left").select("h", F.coalesce("level", F.lit(0)).alias("level"), "g")
-    orders = [c >> 32 for c in ORDERS[GROUPS * GROUP :]]
-    return rows.groupBy("h", "level").agg(*(F.min(F.col("g").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(orders)))
-
-
-def _meetings(sets: DataFrame) -> DataFrame:
-    """Rows (a, b), a < b: the lines of rows (h, s), each with the ends of groups that it
-    meets in one group of the lowest level, or in at least MEETINGS of another."""
-    values = staged(_level_values(sets), "line_values", codec="snappy")
-    keys = F.array(*(F.xxhash64(F.lit(j), f"m{j}") for j in range(FURTHER)))
-    keyed = values.select("h", "level", F.explode(keys).alias("key"))
-    # the ends of rare groups are taken in an order of each group's own
-    at = F.when(F.col("level") == 0, F.xxhash64("key", "h")).otherwise(F.col("h"))
-    ends = keyed.groupBy("key").agg(F.min_by("h", at).alias("low"), F.max_by("h", at).alias("high")).where("low <> high")
-    rows = keyed.join(_few(staged(ends, "line_ends", codec="snappy"), BROADCAST_BANDS), "key")
-    end = F.explode(F.array("low", "high")).alias("end")
-    met = rows.select("level", "h", end).where("h <> end").select("level", F.least("h", "end").alias("a"), F.greatest("h", "end").alias("b"))
-    often = met.groupBy("level", "a", "b").count().where((F.col("level") == 0) | (F.col("count") >= MEETINGS))
-    return often.select("a", "b").distinct()
-
-
-def _across(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of met whose a and b are in different classes."""
-    few = _few(classes, BROADCAST_KEPT)
-    for x in "ab":
-        met = met.join(few.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
-    return met.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
+
+    def joined(links: DataFrame) -> DataFrame:
+        stars = classes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return staged(connected_components(stars.unionByName(links)), "line_classes")
+
+    was = None
+    for k in range(ROUNDS + 1):
+        in_class = members.join(classes, F.col("h") == F.col("node"), "left").select("band", "low", "h", F.coalesce("component", "h").alias("c"))
+        in_class = staged(in_class, "line_inner", codec="snappy")
+        open_ = staged(_open_bands(in_class), "line_open", codec="snappy")
+        wide = F.col("n") > WIDE
+        got = open_.agg(F.count("*").alias("bands"), *(F.coalesce(F.sum(F.when(wide, x)), F.lit(0)).alias(name) for name, x in (("lines", F.col("n")), ("work", F.col("n") * (F.col("n") - F.col("most")))))).first()
+        if not got.bands:
+            return classes
+        if k == ROUNDS or got.work <= WIDE * got.lines or (was is not None and got.work > 0.9 * was):
+            break
+        was = got.work
+        rows = in_class.join(_few(open_.where(wide).select("band", "top"), BROADCAST_BANDS), "band")
+        centre = rows.where("c = top").groupBy("band").agg(F.min_by("h", F.xxhash64(F.lit(k), "h")).alias("a"))
+        pairs = rows.where("c <> top").select("band", F.col("h").alias("b")).join(centre, "band").select("a", "b").distinct()
+        classes = joined(linked(pairs))
+    rows = staged(in_class.join(_few(open_.select("band", "n"), BROADCAST_BANDS), "band"), "line_unsettled", codec="snappy")
+    # all were compared with the least line of a band
+    few = rows.where(~wide & (F.col("h") != F.col("low"))).select("band", "h", "c")
+    x, y = few.toDF("band", "a", "c_a"), few.toDF("band", "b", "c_b")
+    pairs = x.join(y, "band").where("a < b and c_a <> c_b").select("a", "b")
+    if got.lines:
+        lines_of = rows.where(wide).select("h", "c").distinct()
+        pairs = pairs.unionByName(_prefix_pairs(_held(texts.join(lines_of, "h"), ["h", "c"], s=f"array_distinct({hashes('line', shingle)})"), similarity))
+    return joined(linked(staged(pairs.distinct(), "line_pairs")))
+
+
+def _open_bands(in_class: DataFrame) -> DataFrame:
+    """Rows (band, n, top, most) for rows (band, h, c): bands of more than two lines and several
+    classes, their numbers of lines, their largest classes and the lines of these."""
+    # few bands have several classes: the others go before the classes are counted
+    mixed = in_class.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2").select("band", "n")
+    each = in_class.join(_few(staged(mixed, "line_mixed", codec="snappy"), BROADCAST_BANDS), "band").groupBy("band", "n", "c").count()
+    return each.groupBy("band", "n").agg(F.max_by("c", F.struct("count", "c")).alias("top"), F.max("count").alias("most"))
+
+
+def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b) for rows (h, c, s) of lines, their classes and sets of shingles: all pairs of
+    lines of different classes that have this Jaccard similarity, and some that have not.
+
+    Shingles are ordered by the number of lines that have them. If p shingles of a line come
+    before the first that it shares with another, it shares all but p at most. Two lines of n
+    and m shingles are alike if they share 1 / (1 + 1 / similarity) of n + m: that is not less
+    than `similarity` of the longer, nor than 2 / (1 + 1 / similarity) of the shorter. Keys of
+    one class are no keys, and lines of a key's largest class are compared with others only."""
+    sets = staged(sets.select("h", "c", F.size("s").alias("n"), "s"), "line_sets", codec="snappy")
+    rows = sets.select("h", "c", "n", F.explode("s").alias("g"))
+    shared = rows.groupBy("g").agg(F.count("*").alias("f"), (F.min("c") < F.max("c")).alias("mixed")).where("f > 1")
+    listed = rows.join(shared, "g").groupBy("h", "c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g", "mixed"))).alias("r"))
+    part = similarity / (1 + similarity)
+    least = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
+    room = (F.size("r") - least + 1).cast("int")  # shingles of this line alone stand before all others
+    keys = listed.where(room > 0).select("h", "c", "n", (F.col("n") - F.size("r")).alias("alone"), F.posexplode(F.slice("r", 1, room)).alias("p", "x"))
+    keys = staged(keys.where("x.mixed").select(F.col("x.g").alias("g"), "h", "c", "n", (F.col("alone") + F.col("p")).alias("p")), "line_keys", codec="snappy")
+    each = keys.groupBy("g", "c").count()
+    tops = each.groupBy("g").agg(F.max_by("c", F.struct("count", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").select("g", "top")
+    keys = staged(keys.join(tops, "g").select("g", "h", "c", "n", "p", (F.col("c") != F.col("top")).alias("out")), "line_keys", codec="snappy")
+    long = keys.toDF("g", "a", "c_a", "n_a", "p_a", "out_a")
+    short = keys.where(F.col("p") + F.ceil(2 * part * F.col("n") - 1e-9) <= F.col("n")).toDF("g", "b", "c_b", "n_b", "p_b", "out_b")
+    both = F.ceil(part * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    met = long.where("out_a").join(short, "g").unionByName(long.where("not out_a").join(short.where("out_b"), "g"))
+    met = met.where("c_a <> c_b and (n_a > n_b or n_a = n_b and a > b)").where((F.col("p_a") + both <= F.col("n_a")) & (F.col("p_b") + both <= F.col("n_b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def removed_lines(docs: DataFrame, shingle: int = 9, similarity: float = 0.8) -> DataFrame:

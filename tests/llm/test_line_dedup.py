@@ -227,6 +227,42 @@ def test_families_in_a_common_frame(spark):
     assert sorted((r.doc_id, r.text) for r in dedup_lines(docs(spark, list(enumerate(lines)))).collect()) == want
 
 
+@pytest.mark.parametrize("wide", [64, 4])
+def test_all_lines_of_a_band_are_settled(spark, monkeypatch, wide):
+    """Lines of 30 parts, of which two or three are changed: lines with one part between them are
+    alike, and many have each part. Classes are exactly those of all pairs that share a band."""
+    monkeypatch.setattr(line_dedup, "WIDE", wide, raising=False)
+    rng = random.Random(77)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    parts = [(word(8), word(8)) for _ in range(30)]
+    line = lambda changed: "".join(p[k in changed] for k, p in enumerate(parts))
+    few = rng.sample([(i, j) for i in range(30) for j in range(i)], 150)
+    many = [(*x, rng.choice([k for k in range(30) if k not in x])) for x in few]
+    lines = list(dict.fromkeys(line(set(x)) for x in few + many))
+    bands, sets, label = bands_of(spark, lines), {x: grams(x) for x in lines}, {x: x for x in lines}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    members = {}
+    for x, keys in bands.items():
+        for key in keys:
+            members.setdefault(key, []).append(x)
+    assert max(map(len, members.values())) > 64
+    for a, b in {(a, b) for m in members.values() for a in m for b in m if a < b}:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            label[root(b)] = root(a)
+    seen, want = set(), []
+    for i, x in enumerate(lines):
+        if root(x) in seen:
+            want.append(i)
+        seen.add(root(x))
+    got = dedup_lines(docs(spark, list(enumerate(lines)))).where("n_removed > 0").collect()
+    assert 100 < len(want) < len(lines) and sorted(r.doc_id for r in got) == want
+
+
 def test_empty(spark):
     assert dedup_lines(docs(spark, [(1, "x")]).limit(0)).collect() == []
     assert dedup_lines(docs(spark, [(1, None)])).select("text", "n_lines", "n_removed").collect() == [(None, 0, 0)]
