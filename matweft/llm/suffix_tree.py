@@ -47,6 +47,8 @@ PRIOR = 5.0
 SEGMENT_WORDS = 3_000_000
 #: Greatest number of runs that a bucket has on average.
 BUCKET_RUNS = 2_000_000
+#: Keys that a look-up puts into one hash table.
+TABLE_KEYS = 500_000
 
 #: The end is a word of no bytes, the first of every segment.
 END = b""
@@ -132,14 +134,24 @@ def packed(x: np.ndarray) -> bytes:
 
 def unpacked(cells: pa.ChunkedArray, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    parts = [np.frombuffer(c, np.uint8).reshape(width, -1).T.copy().view(dtype).ravel() for c in cells.to_pylist()]
-    return np.concatenate([np.zeros(0, dtype), *parts])
+    sizes = pc.binary_length(cells).to_numpy() // width
+    out, at = np.empty(sizes.sum(), dtype), 0
+    for cell, n in zip(cells, sizes):
+        out[at : at + n].view(np.uint8).reshape(n, width)[:] = np.frombuffer(cell.as_buffer(), np.uint8).reshape(width, n).T
+        at += n
+    return out
 
 
 def look_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray, missing: int) -> np.ndarray:
-    """Values of the keys wanted; no key stands twice."""
-    at = pd.Index(keys).get_indexer(want)
-    return np.where(at >= 0, np.append(values, 0)[at], missing)
+    """Values of the keys wanted; no key stands twice. One share of the keys is in a hash table at a time."""
+    found = np.full(len(want), missing, values.dtype)
+    shares = len(keys) // TABLE_KEYS + 1
+    mine, theirs = (x.view(np.uint64) % np.uint64(shares) if shares > 1 else None for x in (keys, want))
+    for k in range(shares):
+        have, asked = (slice(None) if x is None else np.flatnonzero(x == k) for x in (mine, theirs))
+        at = pd.Index(keys[have]).get_indexer(want[asked])
+        found[asked] = np.where(at >= 0, np.append(values[have], 0)[at], missing)
+    return found
 
 
 def grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,13 +186,7 @@ class Segment:
         self.offset = (np.arange(len(tokens)) - np.repeat(self.starts, lengths)).astype(np.int32)
         self.learned = np.repeat(~self.docs.column("held_out").to_numpy(zero_copy_only=False).astype(bool), lengths)
         self.hashes = hashes[0][tokens]
-        self.side, self.told = {}, {}
-        for k in pc.unique(side.column("kind")).to_pylist():
-            rows = side.filter(pc.equal(side.column("kind"), k))
-            many, one = rows.filter(rows.column("keys").is_valid()), rows.filter(rows.column("keys").is_null())
-            codes, totals = (unpacked(many.column(c), np.int64) for c in ("keys", "values"))
-            self.told[k] = codes[totals & 1 == 1]
-            self.side[k] = np.concatenate([one.column("key").to_numpy(), codes]), np.concatenate([one.column("value").to_numpy(), totals >> 1])
+        self.side = side
         of_word = np.zeros(len(hashes[0]), np.int64)
         nth, n = self.known(0)
         of_word[nth] = n
@@ -192,7 +198,6 @@ class Segment:
             at = at[self.counts[-1][at - 1] >= least]
             code = extend(self.codes[-1][at - 1], self.hashes[at])
             count = look_up(*self.known(d), code, 0)
-            self.side.pop(d, None)
             self.at.append(at)
             if d == depth:
                 self.last_codes, self.last_counts = code, count
@@ -201,8 +206,22 @@ class Segment:
                 kept.append(np.zeros_like(self.hashes))
                 kept[-1][at] = found
 
+    def _of_kind(self, kind: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """The rows of a kind, and the codes and values of those that hold many. Only what is asked
+        for is unpacked, and not kept: all kinds together are several times the documents."""
+        rows = self.side.filter(pc.equal(self.side.column("kind"), kind))
+        many = rows.filter(rows.column("keys").is_valid())
+        return rows, *(unpacked(many.column(c), np.int64) for c in ("keys", "values"))
+
     def known(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.side.get(kind, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        rows, codes, totals = self._of_kind(kind)
+        one = rows.filter(rows.column("keys").is_null())
+        totals >>= 1
+        return np.concatenate([one.column("key").to_numpy(), codes]), np.concatenate([one.column("value").to_numpy(), totals])
+
+    def told(self, kind: int) -> np.ndarray:
+        _, codes, totals = self._of_kind(kind)
+        return codes[totals & 1 == 1]
 
 
 def _beside(rows: DataFrame, kind: int, key: str, value: str) -> DataFrame:
@@ -248,7 +267,7 @@ def count_runs(texts: DataFrame, side: DataFrame, depth: int, train: int, least:
         at = s.at[1]
         code, first, which = grouped(s.codes[1][at])
         n, total, place = np.bincount(which, s.learned[at], minlength=len(code)), s.counts[1][at[first]], at[first]
-        use = (pd.Index(s.told.get(1, code[:0])).get_indexer(code) >= 0) | ((total == 0) & (n == 1))  # without a total it was seen here only
+        use = (pd.Index(s.told(1)).get_indexer(code) >= 0) | ((total == 0) & (n == 1))  # without a total it was seen here only
         place, seen = place[use], np.maximum(total[use], 1)
         n_ctx, n_run = s.counts[0][place - 1], s.counts[0][place]
         share = np.where(n_run < least, 0, n_run / max(train, 1))

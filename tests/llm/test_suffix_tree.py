@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,21 @@ def test_edges(spark):
     assert [(r.n_known, r.train_tokens, r.base_score, round(r.score, 6)) for r in none] == [(0, 0, 0.0, 0.0)] * 2
     got = suffix_tree.score_documents(table, F.col("doc_id") == 1).collect()
     assert sorted((r.n_tokens, r.n_known, r.held_out) for r in got) == [(2, 2, False), (3, 2, True)]
+
+
+def test_a_segment_holds_one_kind_of_totals_at_a_time():
+    """Totals of three lengths of runs, 8 MB of codes and 8 of numbers each, beside a short text."""
+    rng, kinds, n = np.random.default_rng(6), (1, 2, 3), 1_000_000
+    codes = [rng.integers(-(1 << 62), 1 << 62, n) for _ in kinds]
+    cells = lambda x: pa.array([suffix_tree.packed(part) for part in np.split(x, 10)], pa.binary())
+    none = pa.nulls(10, pa.int64())
+    side = pa.concat_tables(pa.table({"kind": np.full(10, k), "key": none, "value": none, "keys": cells(c), "values": cells(2 * np.arange(n))}) for k, c in zip(kinds, codes))
+    words = np.array([0, 5, 6, 7], np.int64)
+    left = pa.table({"held_out": [False, None], "tokens": pa.array([np.array([1, 2, 3], np.int32).tobytes(), None], pa.binary()), "hashes": pa.array([None, words.tobytes()], pa.binary())})
+    tracemalloc.start()
+    segment = suffix_tree.Segment(left, side, 3, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    for k, c in zip(kinds, codes):
+        assert np.array_equal(suffix_tree.look_up(*segment.known(k), c[::-1], -1), np.arange(n)[::-1])
