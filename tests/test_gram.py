@@ -60,3 +60,18 @@ def test_rounding_is_that_of_decimals(spark):
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
     for to, scale in ((1, 0), (100, -2)):
         assert df.where(queries._rounded("v", to) != F.round("v", scale) + 0.0).count() == 0
+
+
+#: Queries of the sketches of X Xᵀ that are to work on X alone.
+BY_FACTOR = ["sketch_y_n2"]
+
+
+@pytest.mark.parametrize("name", BY_FACTOR)
+def test_sketches_make_no_block_of_the_gram_matrix(spark, monkeypatch, name):
+    def made(*_, **__):
+        raise AssertionError("a block of A is made")
+
+    for f in ("kernel_blocks", "kernel_map"):
+        monkeypatch.setattr(kernels, f, made, raising=False)
+    monkeypatch.setattr(sketch, "kernel_map", made, raising=False)
+    assert _moved(spark, queries.QUERIES[name](spark, DATA))[0] < 2e6
