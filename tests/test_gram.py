@@ -63,7 +63,7 @@ def test_rounding_is_that_of_decimals(spark):
 
 
 #: Queries of the sketches of X Xᵀ that are to work on X alone.
-BY_FACTOR = ["sketch_y_n2", "sketch_y_n3", "sketch_z_n1", "sketch_z_n2", "sketch_z_n3", "sketch_z_n5"]
+BY_FACTOR = ["sketch_y_n2", "sketch_y_n3", "sketch_z_n1", "sketch_z_n2", "sketch_z_n3", "sketch_z_n5", "sketch_z_n4"]
 
 
 @pytest.mark.parametrize("name", BY_FACTOR)
