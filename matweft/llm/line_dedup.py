@@ -15,7 +15,9 @@ similarity 0.8 share a band with probability 0.994, of 0.9 with 0.9998.
    narrowed by rounds of comparisons with one more line of a band's largest class; their lines
    are then joined by prefixes, which is exact: shingles are put in order, rarest first, and two
    lines that are alike share one of the first fifth of the longer line and the first ninth of
-   the shorter. So every two lines that share a band are compared, or in one class already,
+   the shorter. Rare shingles are joined first, and lines that have come into one class by
+   them do not meet by the frequent ones. Pairs whose bitmaps show too many shingles of
+   one line alone are not compared, which is exact as well. So every two lines that share a band are compared, or in one class already,
    or shown to be less alike than the threshold.
 3. Of each class the line that stands first stays.
 
@@ -29,6 +31,7 @@ import random
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import connected_components, staged
@@ -46,6 +49,10 @@ BROADCAST_REMOVED = 2_000_000
 GROUPS, GROUP = 3, 4
 #: Shingles hashed in one step of generated code.
 STRETCH = 8
+#: Keys of up to WIDE lines are joined first, then those of up to so many times more lines.
+STEP = 16
+#: Longs of a line's bitmap, a power of two.
+WORDS = 16
 #: Lines of a band of which all pairs are compared as they are.
 WIDE = 64
 #: Rounds of comparisons with one more line of a wide band; they end when a round has brought
@@ -136,6 +143,29 @@ def _texts(wanted: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
     return lines.select("x.h", "x.line").dropDuplicates(["h"])  # rows may repeat
 
 
+def marks(texts: DataFrame, shingle: int) -> DataFrame:
+    """Rows (h, n, m) for rows (h, line): the number of a line's shingles, repeats included, and a
+    bitmap of WORDS longs in which each shingle sets one bit."""
+    rows = texts.select("h", F.expr(_characters("line")).alias("b")).select("h", "b", F.expr(_shingles(shingle)).alias("n"))
+    rows = rows.select("h", "b", "n", F.explode(F.expr("sequence(1, n)")).alias("p")).select("h", "n", F.expr(_hash("p", shingle)).alias("x"))
+    rows = rows.select("h", "n", F.expr(f"shiftright(x, 6) & {WORDS - 1}").alias("k"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
+    held = [F.bit_or(F.when(F.col("k") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(WORDS)]
+    return rows.groupBy("h").agg(F.max("n").alias("n"), *held).select("h", "n", F.struct(*(f"m{k}" for k in range(WORDS))).alias("m"))
+
+
+def _both(similarity: float) -> Column:
+    """The least number of shingles that two lines of n_a and n_b share if they are alike."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+
+
+def may_be_alike(similarity: float) -> Column:
+    """Condition on (n_a, m_a, n_b, m_b) of marks(): false only for lines that are less alike. A bit
+    that one bitmap has alone is of a shingle that one line has alone, and alike lines have at most
+    (1 - similarity) / (1 + similarity) of their different shingles alone."""
+    alone = sum((F.bit_count(F.col(f"m_a.m{k}").bitwiseXOR(F.col(f"m_b.m{k}"))) for k in range(WORDS)), F.lit(0))
+    return alone <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9
+
+
 def line_classes(lines: DataFrame, places: DataFrame, docs: DataFrame, shingle: int = 9, similarity: float = 0.8) -> DataFrame:
     """Rows (node, component) for the lines of signatures() that have a near copy."""
     keyed = lines.select("h", F.explode(band_keys()).alias("band"))
@@ -144,81 +174,109 @@ def line_classes(lines: DataFrame, places: DataFrame, docs: DataFrame, shingle:
     members = staged(keyed.join(_few(ends, BROADCAST_BANDS), "band"), "line_members", codec="snappy")
     wanted = staged(members.select("h").distinct(), "line_wanted", codec="snappy")
     texts = staged(_texts(wanted, places, docs), "line_texts")
+    marked = staged(marks(texts, shingle), "line_marks", codec="snappy")
 
     def linked(pairs: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(marked.toDF(x, f"n_{x}", f"m_{x}"), x)
+        pairs = pairs.where(may_be_alike(similarity)).select("a", "b")
         for x in "ab":
             pairs = pairs.join(texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}")), x)
-        return alike(pairs, shingle, similarity)
+        return staged(alike(pairs, shingle, similarity), "line_links")
 
     stars = staged(members.where("low <> h").select(F.col("low").alias("a"), F.col("h").alias("b")).distinct(), "line_pairs")
     classes = staged(connected_components(linked(stars)), "line_stars")
-
-    def joined(links: DataFrame) -> DataFrame:
-        stars = classes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        return staged(connected_components(stars.unionByName(links)), "line_classes")
-
-    was = None
+    in_class = members.join(classes, F.col("h") == F.col("node"), "left").select("band", "low", "h", F.coalesce("component", "h").alias("c"))
+    in_class = staged(in_class, "line_inner", codec="snappy")
+    # few bands have several classes; all lines of a band were compared with its least one
+    mixed = in_class.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2").select("band", "n")
+    rows = staged(in_class.join(_few(staged(mixed, "line_mixed", codec="snappy"), BROADCAST_BANDS), "band"), "line_unsettled", codec="snappy")
+    wide, was, found = staged(rows.where(F.col("n") > WIDE).select("band", "h", F.col("c").alias("c0"), "c"), "line_wide", codec="snappy"), None, []
+    # a round takes the lines of wide bands that still hold several classes, and no others
     for k in range(ROUNDS + 1):
-        in_class = members.join(classes, F.col("h") == F.col("node"), "left").select("band", "low", "h", F.coalesce("component", "h").alias("c"))
-        in_class = staged(in_class, "line_inner", codec="snappy")
-        open_ = staged(_open_bands(in_class), "line_open", codec="snappy")
-        wide = F.col("n") > WIDE
-        got = open_.agg(F.count("*").alias("bands"), *(F.coalesce(F.sum(F.when(wide, x)), F.lit(0)).alias(name) for name, x in (("lines", F.col("n")), ("work", F.col("n") * (F.col("n") - F.col("most")))))).first()
-        if not got.bands:
-            return classes
+        tops = staged(_top_classes(wide), "line_tops", codec="snappy")
+        got = tops.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.coalesce(F.sum(F.col("n") * (F.col("n") - F.col("most"))), F.lit(0)).alias("work")).first()
         if k == ROUNDS or got.work <= WIDE * got.lines or (was is not None and got.work > 0.9 * was):
             break
         was = got.work
-        rows = in_class.join(_few(open_.where(wide).select("band", "top"), BROADCAST_BANDS), "band")
-        centre = rows.where("c = top").groupBy("band").agg(F.min_by("h", F.xxhash64(F.lit(k), "h")).alias("a"))
-        pairs = rows.where("c <> top").select("band", F.col("h").alias("b")).join(centre, "band").select("a", "b").distinct()
-        classes = joined(linked(pairs))
-    rows = staged(in_class.join(_few(open_.select("band", "n"), BROADCAST_BANDS), "band"), "line_unsettled", codec="snappy")
-    # all were compared with the least line of a band
-    few = rows.where(~wide & (F.col("h") != F.col("low"))).select("band", "h", "c")
+        held = wide.join(_few(tops.select("band", "top"), BROADCAST_BANDS), "band")
+        centre = held.where("c = top").groupBy("band").agg(F.min_by("h", F.xxhash64(F.lit(k), "h")).alias("a"))
+        found.append(linked(held.where("c <> top").select("band", F.col("h").alias("b")).join(centre, "band").select("a", "b").distinct()))
+        of_class = held.where("h <> c").select(F.col("h").alias("a"), F.col("c").alias("b")).distinct()
+        wide = staged(_moved(wide, connected_components(found[-1].unionByName(of_class))), "line_wide", codec="snappy")
+    few = rows.where((F.col("n") <= WIDE) & (F.col("h") != F.col("low"))).select("band", "h", "c")
+    if found:
+        few = _moved(few, wide.where("c0 <> c").select(F.col("c0").alias("node"), F.col("c").alias("component")).distinct())
     x, y = few.toDF("band", "a", "c_a"), few.toDF("band", "b", "c_b")
     pairs = x.join(y, "band").where("a < b and c_a <> c_b").select("a", "b")
+    found.append(linked(staged(pairs.distinct(), "line_pairs")))
     if got.lines:
-        lines_of = rows.where(wide).select("h", "c").distinct()
-        pairs = pairs.unionByName(_prefix_pairs(_held(texts.join(lines_of, "h"), ["h", "c"], s=f"array_distinct({hashes('line', shingle)})"), similarity))
-    return joined(linked(staged(pairs.distinct(), "line_pairs")))
-
-
-def _open_bands(in_class: DataFrame) -> DataFrame:
-    """Rows (band, n, top, most) for rows (band, h, c): bands of more than two lines and several
-    classes, their numbers of lines, their largest classes and the lines of these."""
-    # few bands have several classes: the others go before the classes are counted
-    mixed = in_class.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2").select("band", "n")
-    each = in_class.join(_few(staged(mixed, "line_mixed", codec="snappy"), BROADCAST_BANDS), "band").groupBy("band", "n", "c").count()
-    return each.groupBy("band", "n").agg(F.max_by("c", F.struct("count", "c")).alias("top"), F.max("count").alias("most"))
-
-
-def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Rows (a, b) for rows (h, c, s) of lines, their classes and sets of shingles: all pairs of
-    lines of different classes that have this Jaccard similarity, and some that have not.
-
-    Shingles are ordered by the number of lines that have them. If p shingles of a line come
-    before the first that it shares with another, it shares all but p at most. Two lines of n
-    and m shingles are alike if they share 1 / (1 + 1 / similarity) of n + m: that is not less
-    than `similarity` of the longer, nor than 2 / (1 + 1 / similarity) of the shorter. Keys of
-    one class are no keys, and lines of a key's largest class are compared with others only."""
+        lines_of = staged(wide.join(_few(tops.select("band"), BROADCAST_BANDS), "band").select("h", "c").distinct(), "line_inner", codec="snappy")
+        keys = prefix_keys(_held(lines_of.join(texts, "h"), ["h", "c"], s=f"array_distinct({hashes('line', shingle)})"), similarity)
+        of_class = lines_of.where("h <> c").select(F.col("h").alias("a"), F.col("c").alias("b"))
+        # lines that meet by rare keys are mostly of one class before the others are joined
+        least, most = 0, keys.agg(F.max("times")).first()[0] or 0
+        while least < most:
+            below = max(WIDE, STEP * least)
+            level = keys.where((F.col("times") > least) & (F.col("times") <= below)).drop("times")
+            if least:
+                level = staged(_moved(level, connected_components(of_class)), "line_keys", codec="snappy")
+            found.append(linked(staged(prefix_pairs(level, similarity).distinct(), "line_pairs")))
+            least, of_class = below, of_class.unionByName(found[-1])
+    edges = classes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for links in found:
+        edges = edges.unionByName(links)
+    return staged(connected_components(edges), "line_classes")
+
+
+def _top_classes(rows: DataFrame) -> DataFrame:
+    """Rows (band, n, top, most) for rows (band, h, c): bands of several classes, their numbers of
+    lines, their largest classes and the lines of these."""
+    each = rows.groupBy("band", "c").count().groupBy("band")
+    each = each.agg(F.sum("count").alias("n"), F.max_by("c", F.struct("count", "c")).alias("top"), F.max("count").alias("most"))
+    return each.where("most < n")
+
+
+def _moved(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows with their classes c replaced where classes (node, component) tells another."""
+    return rows.join(classes, F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("component", "c")).drop("node", "component")
+
+
+def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows (g, h, c, n, rest, times) for rows (h, c, s) of lines, their classes and sets of
+    shingles: keys g by which lines of different classes meet that have this Jaccard similarity.
+
+    Shingles that the same lines have are one key, told by the exclusive-or of those lines; they
+    share or miss it as a whole. Keys are ordered by the number of lines that have them. If the
+    first key that a line shares with another leaves it `rest` shingles, those of the key with
+    them, the two share no more; so keys that leave less than `similarity` of the line's are
+    none. Nor are keys of one class. `times` is the number of a key's rows."""
     sets = staged(sets.select("h", "c", F.size("s").alias("n"), "s"), "line_sets", codec="snappy")
-    rows = sets.select("h", "c", "n", F.explode("s").alias("g"))
-    shared = rows.groupBy("g").agg(F.count("*").alias("f"), (F.min("c") < F.max("c")).alias("mixed")).where("f > 1")
-    listed = rows.join(shared, "g").groupBy("h", "c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g", "mixed"))).alias("r"))
-    part = similarity / (1 + similarity)
-    least = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
-    room = (F.size("r") - least + 1).cast("int")  # shingles of this line alone stand before all others
-    keys = listed.where(room > 0).select("h", "c", "n", (F.col("n") - F.size("r")).alias("alone"), F.posexplode(F.slice("r", 1, room)).alias("p", "x"))
-    keys = staged(keys.where("x.mixed").select(F.col("x.g").alias("g"), "h", "c", "n", (F.col("alone") + F.col("p")).alias("p")), "line_keys", codec="snappy")
-    each = keys.groupBy("g", "c").count()
-    tops = each.groupBy("g").agg(F.max_by("c", F.struct("count", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").select("g", "top")
-    keys = staged(keys.join(tops, "g").select("g", "h", "c", "n", "p", (F.col("c") != F.col("top")).alias("out")), "line_keys", codec="snappy")
-    long = keys.toDF("g", "a", "c_a", "n_a", "p_a", "out_a")
-    short = keys.where(F.col("p") + F.ceil(2 * part * F.col("n") - 1e-9) <= F.col("n")).toDF("g", "b", "c_b", "n_b", "p_b", "out_b")
-    both = F.ceil(part * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    rows = sets.select("h", "c", F.explode("s").alias("x"))
+    shared = rows.groupBy("x").agg(F.count("*").alias("f"), F.bit_xor(F.xxhash64("h")).alias("g"), (F.min("c") < F.max("c")).alias("mixed")).where("f > 1")
+    listed = rows.select("h", "x").join(shared, "x").select("h", "f", "g", "mixed").repartition("h")  # for all that follows
+    listed = listed.groupBy("h", "f", "g").agg(F.count("*").alias("w"), F.first("mixed").alias("mixed"))
+    last_first = W.partitionBy("h").orderBy(F.desc("f"), F.desc("g")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    listed = listed.withColumn("rest", F.sum("w").over(last_first)).where("mixed").select("h", "g", "rest")
+    keys = listed.join(sets.select("h", "c", "n"), "h").where(F.col("rest") >= F.ceil(F.lit(similarity) * F.col("n") - 1e-9))
+    keys = staged(keys.select("g", "h", "c", "n", "rest"), "line_keys", codec="snappy")
+    times = keys.groupBy("g").agg(F.count("*").alias("times"), (F.min("c") < F.max("c")).alias("mixed")).where("mixed").select("g", "times")
+    return staged(keys.join(times, "g"), "line_keys", codec="snappy")
+
+
+def prefix_pairs(keys: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b) for rows (g, h, c, n, rest) of prefix_keys(): the pairs of lines of different
+    classes that meet in a key and may be alike, some more than once.
+
+    Two lines of n and m shingles are alike if they share 1 / (1 + 1 / similarity) of n + m: that is
+    not less than 2 / (1 + 1 / similarity) of the shorter. Lines of a key's largest class are
+    compared with others only."""
+    tops = keys.groupBy("g", "c").count().groupBy("g").agg(F.max_by("c", F.struct("count", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").select("g", "top")
+    keys = staged(keys.join(tops, "g").select("g", "h", "c", "n", "rest", (F.col("c") != F.col("top")).alias("out")), "line_keys", codec="snappy")
+    long = keys.toDF("g", "a", "c_a", "n_a", "rest_a", "out_a")
+    short = keys.where(F.col("rest") >= F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9)).toDF("g", "b", "c_b", "n_b", "rest_b", "out_b")
     met = long.where("out_a").join(short, "g").unionByName(long.where("not out_a").join(short.where("out_b"), "g"))
-    met = met.where("c_a <> c_b and (n_a > n_b or n_a = n_b and a > b)").where((F.col("p_a") + both <= F.col("n_a")) & (F.col("p_b") + both <= F.col("n_b")))
+    met = met.where("c_a <> c_b and (n_a > n_b or n_a = n_b and a > b)").where(F.least("rest_a", "rest_b") >= _both(similarity))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

@@ -263,6 +263,41 @@ def test_all_lines_of_a_band_are_settled(spark, monkeypatch, wide):
     assert 100 < len(want) < len(lines) and sorted(r.doc_id for r in got) == want
 
 
+def test_bitmaps_reject_no_alike_pair(spark):
+    """Pairs of all similarities, with repeated shingles and without: what a bitmap rejects is less
+    alike than 0.8, and most of what is much less alike is rejected."""
+    rng = random.Random(8)
+    lines = []
+    for k in range(600):
+        base = [rng.choice("abcdefghij ") for _ in range(rng.choice([3, 9, 40, 200, 600]))] * (1 + k % 3 // 2)
+        edit = list(base)
+        for p in rng.sample(range(len(base)), min(len(base), rng.randint(0, 6))):
+            edit[p] = "Z"
+        lines += ["".join(base), "".join(edit) + "ab" * rng.randint(0, 4)]
+    table = spark.createDataFrame(list(enumerate(lines)), "h bigint, line string")
+    marked = line_dedup.marks(table, 9)
+    pairs = marked.toDF("a", "n_a", "m_a").join(marked.toDF("b", "n_b", "m_b"), F.expr("a div 2 = b div 2 and a < b"))
+    left = {r.a for r in pairs.where(line_dedup.may_be_alike(0.8)).select("a").collect()}
+    like = {i: len(x & y) / len(x | y) for i in range(0, len(lines), 2) for x, y in [(grams(lines[i]), grams(lines[i + 1]))]}
+    assert {i for i, v in like.items() if v >= 0.8} <= left
+    far = {i for i, v in like.items() if v < 0.5}
+    assert len(far) > 100 and len(far - left) >= 0.9 * len(far)
+
+
+def test_lines_of_one_class_do_not_meet_by_frequent_shingles(spark):
+    """One family of 400 lines in classes that rare shingles unite: what is then left to meet by
+    the frequent ones grows with the family, not with its square."""
+    lines = [(i, i, list(range(200)) + list(range(1000 + 20 * (i // 2), 1010 + 20 * (i // 2)))) for i in range(400)]
+    sets = spark.createDataFrame(lines, "h bigint, c bigint, s array<bigint>")
+    keys = line_dedup.prefix_keys(sets, 0.8).cache()
+    rare = line_dedup.prefix_pairs(keys.where("times <= 64").drop("times"), 0.8).distinct().collect()
+    assert sorted(map(tuple, rare)) == [(i, i + 1) for i in range(0, 400, 2)]
+    one = keys.where("times > 64").drop("times").withColumn("c", F.lit(0).cast("long"))
+    assert line_dedup.prefix_pairs(one, 0.8).count() == 0
+    assert line_dedup.prefix_pairs(keys.where("times > 64").drop("times"), 0.8).distinct().count() == 400 * 399 // 2
+    keys.unpersist()
+
+
 def test_empty(spark):
     assert dedup_lines(docs(spark, [(1, "x")]).limit(0)).collect() == []
     assert dedup_lines(docs(spark, [(1, None)])).select("text", "n_lines", "n_removed").collect() == [(None, 0, 0)]
