@@ -75,3 +75,10 @@ def test_sketches_make_no_block_of_the_gram_matrix(spark, monkeypatch, name):
         monkeypatch.setattr(kernels, f, made, raising=False)
     monkeypatch.setattr(sketch, "kernel_map", made, raising=False)
     assert _moved(spark, queries.QUERIES[name](spark, DATA))[0] < 2e6
+
+
+@pytest.mark.parametrize("name", ["recon_rank2"])
+def test_cells_of_a_square_are_made_by_many_tasks(spark, name):
+    made = queries.QUERIES[name](spark, DATA).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in made) == 2000 * 2000
+    assert len(made) >= 4 and max(r["count"] for r in made) <= 1_200_000, made
