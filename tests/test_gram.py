@@ -77,7 +77,7 @@ def test_sketches_make_no_block_of_the_gram_matrix(spark, monkeypatch, name):
     assert _moved(spark, queries.QUERIES[name](spark, DATA))[0] < 2e6
 
 
-@pytest.mark.parametrize("name", ["recon_rank2", "recon_rank1", "file_product", "gen_psd", "gram_linear", "gram_rbf", "matmul_blocks", "matmul_grid", "matmul_int32_blocks"])
+@pytest.mark.parametrize("name", ["recon_rank2", "recon_rank1", "file_product", "gen_psd", "gram_linear", "gram_rbf", "matmul_blocks", "matmul_grid", "matmul_int32_blocks", "matmul_float32_blocks"])
 def test_cells_of_a_square_are_made_by_many_tasks(spark, name):
     made = queries.QUERIES[name](spark, DATA).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in made) == 2000 * 2000
